@@ -6,11 +6,12 @@ Nodes that share a band are candidates. Their similarity is first estimated from
 equal 2-bit fields, corrected for chance collisions (1 in 4); what may reach the threshold is
 confirmed on the full sets.
 
-No bucket is expanded into its pairs. Every member of a bucket is first held against one
-leader; confirmed links are joined into components. Buckets whose members then still lie in
-several components get a second leader, and what remains is compared across components only,
-so that no link between different components is lost: a pair inside one component needs no
-further link to be in the same group.
+No bucket is expanded into its pairs. Every node is first held against one leader of its
+buckets; confirmed links are joined into components. Where a bucket's members then still lie
+in several components, the nodes outside its largest one are held against another member of
+that, a few times over. What remains is compared across components only, in blocks of bounded
+size that give back links alone, so that no link between different components is lost: a pair
+inside one component needs no further link to be in the same group.
 """
 
 from __future__ import annotations
@@ -129,13 +130,36 @@ def _estimate(left: str, right: str):
     return (1 - differ / PERMUTATIONS - chance) / (1 - chance)
 
 
+def _linked(p: np.ndarray, q: np.ndarray, threshold: int) -> bool:
+    """100 * intersection >= threshold * union, of sorted distinct hashes."""
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    if not len(small):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= threshold * (len(p) + len(q) - both)
+
+
+def _grams(column) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+
+
 class _Links:
-    """Confirms candidate pairs of nodes on their full sets."""
+    """Confirms candidate pairs of nodes on their full sets, which are made once."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, threshold: int, slack: float, scratch: Scratch):
-        self.docs, self.k, self.threshold, self.slack, self.scratch = docs, k, threshold, slack, scratch
+    def __init__(self, docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, threshold: int, slack: float, scratch: Scratch):
+        self.threshold, self.slack, self.scratch = threshold, slack, scratch
         self.sigs = nodes.select("node", F.col("n_shingles").alias("n"), *_longs("sig", "s"))
 
+        def sets(batches):
+            for batch in batches:
+                for lo, hi, words in pieces(batch.column(1), fold=True):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(words, k)], pa.binary())], ["node", "grams"])
+
+        # a merge join at every size, so that no side has to fit in memory
+        texts = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        self.full = scratch.keep(texts.mapInArrow(sets, "node long, grams binary"), "sets")
+
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``x, y`` whose sizes and estimate leave room for the threshold."""
         for side in ("x", "y"):
@@ -146,43 +170,58 @@ class _Links:
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs with 100 * intersection >= threshold * union, as edges ``a, b``."""
-        k, threshold = self.k, self.threshold
-        pairs = self.scratch.keep(pairs.distinct(), f"{name}_pairs")
-        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
-
-        def sets(batches):
-            for batch in batches:
-                for lo, hi, words in pieces(batch.column(1), fold=True):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(words, k)], pa.binary())], ["node", "grams"])
-
-        texts = self.docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-        full = self.scratch.keep(texts.mapInArrow(sets, "node long, grams binary"), f"{name}_sets")
+        threshold = self.threshold
 
         def hold(batches):
             for batch in batches:
                 x, y = batch.column(0), batch.column(1)
-                keep = []
-                for p, q in zip(batch.column(2), batch.column(3), strict=True):
-                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                    small, large = (p, q) if len(p) < len(q) else (q, p)
-                    at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
-                    both = int((large[at] == small).sum()) if len(large) else 0
-                    keep.append(len(small) > 0 and 100 * both >= threshold * (len(p) + len(q) - both))
+                keep = [_linked(p, q, threshold) for p, q in zip(_grams(batch.column(2)), _grams(batch.column(3)), strict=True)]
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], ["a", "b"])
 
-        joined = pairs.join(full.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x")
-        joined = joined.join(full.select(F.col("node").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", "gx", "gy")
-        edges = self.scratch.keep(joined.mapInArrow(hold, "a long, b long"), f"{name}_edges")
-        self.scratch.drop(f"{name}_sets")
-        return edges
+        joined = pairs.distinct().join(self.full.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x")
+        joined = joined.join(self.full.select(F.col("node").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", "gx", "gy")
+        return self.scratch.keep(joined.mapInArrow(hold, "a long, b long"), f"{name}_edges")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: float = 0.2) -> DataFrame:
+def _compare(table: pa.Table, threshold: int, slack: float) -> pa.Table:
+    """Links between the two sides of one block, skipping pairs that links found here already join."""
+    cols = {name: table.column(name).combine_chunks() for name in ("outer", "node", "label", "n", "sig", "grams", "main")}
+    outer = cols["outer"].to_numpy(zero_copy_only=False)
+    node, label, n, main = (cols[c].to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "main"))
+    sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), np.uint64).reshape(-1, 8)
+    left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
+    chance = 1 / 2**BITS
+    found: list[tuple[float, int, int]] = []
+    for i in left:
+        x = sig[right] ^ sig[i]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+        likeness = (1 - differ / PERMUTATIONS - chance) / (1 - chance)
+        fit = (likeness >= threshold / 100 - slack) & (100 * np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))
+        fit &= (label[right] != label[i]) & ((label[right] == main[i]) | (node[right] > node[i]))
+        found += [(-likeness[k], int(i), int(right[k])) for k in np.flatnonzero(fit)]
+    top: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in top:
+            v = top[v]
+        return v
+
+    a, b = [], []
+    for _, i, j in sorted(found):
+        u, v = root(int(label[i])), root(int(label[j]))
+        if u != v and _linked(*(np.frombuffer(cols["grams"][r].as_buffer(), np.uint64) for r in (i, j)), threshold):
+            top[max(u, v)] = min(u, v)
+            a.append(node[i])
+            b.append(node[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: float = 0.15, rounds: int = 4, block_nodes: int = 512, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased. ``slack`` is how far the
-    estimate may lie below ``threshold`` percent, about seven standard deviations. Null, empty
+    estimate may lie below ``threshold`` percent, five standard deviations. Null, empty
     and wordless texts have no set and no link. Rows of one id are one node. A null id takes
     part in no group: its component is null and it is kept. An empty table gives no row.
     """
@@ -196,41 +235,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
     )
     owners = usable.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["key1", "key2", "doc_id"])
     nodes = scratch.keep(owners.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands"), "nodes")
-    links = _Links(docs, nodes, k, threshold, slack, scratch)
-
     bands = nodes.select("node", F.explode("bands").alias("h"))
     shared = bands.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-    buckets = scratch.keep(bands.join(shared, "h"), "buckets")
-    first = buckets.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y")).distinct()
-    edges = links.confirmed(links.possible(first), "first")
+    buckets = scratch.keep(bands.join(shared, "h").select("h", "node", "lead"), "buckets")
+    links = _Links(docs, nodes, buckets.select("node").distinct(), k, threshold, slack, scratch)
     same = members.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    labels = connected_components(edges, scratch, "round1")
-
-    def labelled(labels: DataFrame) -> DataFrame:
-        """Bucket rows of those buckets that still hold several components."""
-        rows = buckets.join(labels, "node", "left").select("h", "node", "last", F.coalesce("label", "node").alias("label"))
-        several = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        return rows.join(several, "h")
-
-    rows = labelled(labels)
-    last = rows.where("node = last").select("h", F.col("label").alias("last_label")).distinct()
-    second = rows.join(last, "h").where("label <> last_label").select(F.least("node", "last").alias("x"), F.greatest("node", "last").alias("y")).distinct()
-    second = second.join(first.select("x", "y"), ["x", "y"], "left_anti")
-    edges = edges.union(links.confirmed(links.possible(second), "second"))
-    labels = connected_components(edges, scratch, "round2")
-
-    rows = scratch.keep(labelled(labels).select("h", "node", "label"), "rest")
-    sizes = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    sig = links.sigs
-    left = rows.join(sizes, "h").where("label <> main").join(sig, "node").select("h", "main", F.col("node").alias("p"), F.col("label").alias("pl"), F.col("n").alias("np"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(8)))
-    right = rows.join(sig, "node").select("h", F.col("node").alias("q"), F.col("label").alias("ql"), F.col("n").alias("nq"), *(F.col(f"s{i}").alias(f"q{i}") for i in range(8)))
-    once = (F.col("pl") < F.col("ql")) | (F.col("ql") == F.col("main"))
-    near = 100 * F.least("np", "nq") >= threshold * F.greatest("np", "nq")
-    across = left.join(right, (left["h"] == right["h"]) & (F.col("pl") != F.col("ql")) & once & near & (_estimate("p", "q") >= threshold / 100 - slack))
-    across = across.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-    third = links.confirmed(across, "third")
-    labels = connected_components(edges.union(third).union(same), scratch, "round3")
-    scratch.drop("buckets", "rest", "nodes", "first_pairs", "second_pairs", "third_pairs")
+
+    # each node against the smallest leader of its buckets
+    first = buckets.where("node <> lead").groupBy(F.col("node").alias("y")).agg(F.min("lead").alias("x"))
+    edges = links.confirmed(links.possible(first.select("x", "y")), "first")
+    labels = connected_components(edges, scratch, "first")
+    rest, before = None, None
+    for turn in range(rounds):
+        # buckets that hold several components, and the component with most members in each
+        rows = buckets.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+        several = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
+        rows = rows.join(several, "h")
+        by_turn = F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        groups = rows.groupBy("h", "label").agg(F.count("*").alias("n"), F.min_by("node", by_turn).alias("lead"))
+        mains = groups.groupBy("h").agg(F.max_by(F.struct("label", "lead"), F.struct("n", "label")).alias("main"))
+        rest = scratch.keep(rows.join(mains, "h").select("h", "node", "label", F.col("main.label").alias("main"), F.col("main.lead").alias("lead")), f"rest{turn}")
+        open_rows = rest.where("label <> main").count()
+        if before is not None and open_rows > 0.8 * before:
+            break
+        before = open_rows
+        if not open_rows:
+            break
+        # each node of a smaller component against one member of the larger
+        next_pairs = rest.where("label <> main").groupBy(F.col("node").alias("y")).agg(F.min_by("lead", F.xxhash64("lead", F.lit(turn))).alias("x"))
+        edges = edges.union(links.confirmed(links.possible(next_pairs.select("x", "y")), f"turn{turn}"))
+        labels = connected_components(edges, scratch, f"turn{turn}")
+    else:
+        rows = buckets.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+        mains = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
+        rest = scratch.keep(rows.join(mains.where("parts > 1"), "h").select("h", "node", "label", "main"), "rest")
+
+    # What is left, across components only: nodes that unsettled buckets join are one group. Those
+    # outside the group's largest component meet all of the group, block by block.
+    hops = rest.join(rest.groupBy("h").agg(F.min("node").alias("low")), "h").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    groups = connected_components(hops, scratch, "groups")
+    parts = rest.select("node", "label").distinct().join(groups.withColumnRenamed("label", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    mains = parts.groupBy("g", "label").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    parts = parts.join(mains, "g").join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").join(links.full, "node")
+    parts = scratch.keep(parts, "parts")
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(block_nodes)), F.ceil(size / F.lit(block_bytes)), F.lit(1))
+    outside = F.col("label") != F.col("main")
+    size = F.octet_length("grams")
+    cuts = parts.groupBy("g").agg(blocks(F.count_if(outside), F.sum(F.when(outside, size).otherwise(0))).alias("na"), blocks(F.count("*"), F.sum(size)).alias("nb"))
+    cut = parts.join(cuts, "g").withColumn("at", F.xxhash64("node"))
+    columns = ["g", "ia", "ib", "outer", "node", "label", "n", "sig", "grams", "main"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    sides = [
+        cut.where(outside).withColumns({"outer": F.lit(True), "ia": F.pmod("at", "na").cast("int")}).withColumn("ib", spread("nb")).select(columns),
+        cut.withColumns({"outer": F.lit(False), "ib": F.pmod("at", "nb").cast("int")}).withColumn("ia", spread("na")).select(columns),
+    ]
+    across = sides[0].union(sides[1]).groupBy("g", "ia", "ib").applyInArrow(lambda t: _compare(t, threshold, slack), "a long, b long")
+    edges = edges.union(scratch.keep(across, "across"))
+    labels = connected_components(edges.union(same), scratch, "all")
+    scratch.drop("buckets", "nodes", "sets", "members", "rest", "parts", *(f"rest{i}" for i in range(rounds)))
 
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
