@@ -10,6 +10,8 @@ ORACLES: dict = {}
 for _name in (
     "op3_packing",
     "op4_minhash",
+    "op5_mixing",
+    "op9_warc",
 ):
     _module = importlib.import_module(f"lapidary.llm.q_{_name}")
     QUERIES[_name] = _module.query
