@@ -36,7 +36,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
         tok = tokenizer(vocabulary)
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
-            for lo, hi, words in word_runs(batch.column(1)):
+            for lo, hi, words in word_runs(batch.column(1), fold=tok.splits):
+                if tok.splits:
+                    words.split_edges()
                 ids, each = tok.encode(words)
                 ends = np.concatenate([[0], np.cumsum(each)])[words.bounds]
                 rows = []

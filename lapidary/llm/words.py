@@ -18,6 +18,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -64,6 +68,39 @@ class Words:
         #: text i has the words bounds[i] to bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
 
+    def split_edges(self) -> None:
+        """Make runs of ASCII punctuation at a word's ends words of their own.
+
+        Only where the text between them starts and ends with a letter or digit of Latin-1, and
+        not for the signs ``'``, ``<``, ``>`` and ``|``, which contractions and special tokens use.
+        """
+        d, n = self.data, len(self.starts)
+        left, right = self.starts.copy(), self.ends.copy()
+        for _ in range(8):
+            more = (left < right) & _EDGE[d[np.minimum(left, len(d) - 1)]] if len(d) else np.zeros(n, bool)
+            if not more.any():
+                break
+            left += more
+        for _ in range(8):
+            more = (left < right) & _EDGE[d[right - 1]] if len(d) else np.zeros(n, bool)
+            if not more.any():
+                break
+            right -= more
+        at = np.minimum(left, max(0, len(d) - 1))
+        ok = left < right
+        if len(d):
+            first, second = d[at], d[np.minimum(at + 1, len(d) - 1)]
+            last, before = d[right - 1], d[np.maximum(right - 2, 0)]
+            ok &= _ALNUM[first] | ((first == 0xC3) & (second != 0x97) & (second != 0xB7))
+            ok &= _ALNUM[last] | ((before == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 0x80) & (right - left > 1))
+        left = np.where(ok, left, self.starts)
+        right = np.where(ok, right, self.ends)
+        starts = np.stack([self.starts, left, right], axis=1)
+        ends = np.stack([left, right, self.ends], axis=1)
+        real = ends > starts
+        count = np.concatenate([[0], np.cumsum(real.sum(axis=1))])
+        self.starts, self.ends, self.bounds = starts[real], ends[real], count[self.bounds]
+
     def hashes(self) -> np.ndarray:
         n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
