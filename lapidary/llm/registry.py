@@ -11,7 +11,11 @@ for _name in (
     "op3_packing",
     "op4_minhash",
     "op5_mixing",
+    "op6_quality",
+    "op7_knn",
+    "op8_pseudonyms",
     "op9_warc",
+    "op10_toxicity",
 ):
     _module = importlib.import_module(f"lapidary.llm.q_{_name}")
     QUERIES[_name] = _module.query
