@@ -8,6 +8,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 for _name in (
+    "op1_toolcalls",
+    "op2_wrappers",
     "op3_packing",
     "op4_minhash",
     "op5_mixing",
