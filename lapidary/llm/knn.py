@@ -3,9 +3,9 @@
 Vectors become integers. Pivots, a bounded sample, part the queries into cells. For each cell
 one pass over the candidates keeps the greatest lower bounds of their scores with any query of
 the cell (product with the pivot less cell radius times length); the k-th of them is a score
-that every query of the cell reaches. A second pass copies a candidate only to the cells where
-its upper bound reaches that. Cells are solved locally, in blocks of bounded size, and the
-blocks' best are merged. Equal vectors are one candidate with the few smallest ids that can be
+that every query of the cell reaches. A second pass copies a candidate only to the parts (cells that
+lie beside each other, of a bounded number of queries) where its upper bound for some cell
+reaches that. Parts are solved locally, in blocks of candidates, and the blocks' best merged. Equal vectors are one candidate with the few smallest ids that can be
 among anyone's best, so copies cost nothing.
 """
 
@@ -52,7 +52,7 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.transform(e, lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
 
 
-def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_pivots: int = 64, block_rows: int = 2048) -> DataFrame:
+def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_pivots: int = 64, block_rows: int = 2048, block_candidates: int = 10_000) -> DataFrame:
     """For each ``vec_id`` divisible by ``query_every``: its k best others, as ``query_id, rank, vec_id, score``.
 
     Ties go to the smaller id. A shorter vector counts as padded with zeros. Rows that repeat an
@@ -97,7 +97,22 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
     summary = {r.cell: (r.radius, r.n) for r in cells.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}
     live = np.array(sorted(summary))
     radius = np.array([summary[c][0] for c in live]) * (1 + 1e-9) + 1e-6
-    parts = np.array([math.ceil(summary[c][1] / block_rows) for c in live])
+    # cells that lie beside each other share a part of block_rows queries; a larger cell has several
+    centred = pivots[live] - pivots[live].mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+    first_part, splits, n_parts, room = {}, {}, 0, 0
+    for at in np.argsort(along, kind="stable"):
+        cell, n = int(live[at]), summary[int(live[at])][1]
+        if n > room:
+            splits[cell] = math.ceil(n / block_rows)
+            first_part[cell], room = n_parts, splits[cell] * block_rows if splits[cell] == 1 else 0
+            n_parts += splits[cell]
+        else:
+            first_part[cell], splits[cell] = n_parts - 1, 1
+        room -= n
+    serves = np.zeros((len(live), n_parts), bool)
+    for i, cell in enumerate(live.tolist()):
+        serves[i, first_part[cell] : first_part[cell] + splits[cell]] = True
 
     def bounds(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, p = fitted(m)
@@ -124,14 +139,13 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
     def send(batches):
         for batch in batches:
             goes = bounds(_matrix(batch.column(0)))[1] >= least[None, :]
-            row, cell = np.nonzero(goes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(live[cell].astype(np.int32))], ["v", "ids", "cell"])
+            row, part = np.nonzero(goes @ serves)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(part.astype(np.int32))], ["v", "ids", "part"])
 
-    sent = points.select("v", "ids").mapInArrow(send, "v array<double>, ids array<long>, cell int")
-    of = dict(zip(live.tolist(), parts.tolist(), strict=True))
-    n_parts = F.element_at(F.array(*(F.lit(int(of.get(c, 1))) for c in range(len(pivots)))), F.col("cell") + 1)
-    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1))).withColumn("block", F.pmod(F.hash("v"), F.lit(16)))
-    asked = cells.withColumn("part", F.pmod(F.hash("query_id"), n_parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    blocks = int(max(4, math.ceil(points.count() / block_candidates)))
+    sent = points.select("v", "ids").mapInArrow(send, "v array<double>, ids array<long>, part int").withColumn("block", F.pmod(F.hash("v"), F.lit(blocks)))
+    of_cell = lambda d: F.element_at(F.array(*(F.lit(int(d.get(c, 1))) for c in range(len(pivots)))), F.col("cell") + 1)
+    asked = cells.withColumn("part", of_cell(first_part) + F.pmod(F.hash("query_id"), of_cell(splits))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -157,7 +171,7 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
             found = [(int(own), n, -s) for own, rows in zip(ids, best, strict=True) for s, n in rows]
         return pa.Table.from_pandas(pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64"), preserve_index=False)
 
-    keys = ["cell", "part", "block"]
+    keys = ["part", "block"]
     local = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
