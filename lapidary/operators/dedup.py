@@ -58,7 +58,14 @@ class SectionDedup:
         near = list(self.by_hash.get(hash(question), []))
         if len(near) < self.recent:
             near += [t for t in self.texts[-self.recent :] if t not in near]
-        return max(near, key=lambda t: 101.0 if t == question else weighted_ratio(question, t), default=None)
+        if question in near:
+            return question
+        best, score = None, -1.0
+        for text in near:
+            got = weighted_ratio(question, text, max(score, 0.0))
+            if got > score:
+                best, score = text, got
+        return best
 
     def _remember(self, question: str, index: int) -> None:
         self.texts.append(question)

@@ -45,45 +45,55 @@ def may_reach(a: str, b: str, score: float) -> bool:
     return 200.0 * sum((Counter(a) & Counter(b)).values()) / total >= score
 
 
-def partial_ratio(a: str | None, b: str | None) -> float:
+def partial_ratio(a: str | None, b: str | None, floor: float = 0.0) -> float:
+    """The exact value where it exceeds ``floor``; else some value that doesn't."""
     if a is None or b is None:
         return 0.0
     if not a or not b:
         return 100.0 if a == b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    best = _windows(short, long)
-    return max(best, _windows(long, short)) if len(a) == len(b) else best
-
-
-def _windows(short: str, long: str) -> float:
-    n, chars, best = len(short), set(short), 0.0
-    for start in range(1 - n, len(long)):
-        end = min(start + n, len(long))
-        window = long[max(start, 0) : end]
-        # a window worth trying begins or ends with a character of the shorter string
-        if window and (window[-1] in chars if start <= 0 else window[0] in chars):
-            if 200.0 * min(n, len(window)) / (n + len(window)) > best:
-                best = max(best, ratio(short, window))
-                if best == 100.0:
-                    break
+    best = _windows(short, long, floor)
+    return max(best, _windows(long, short, max(floor, best))) if len(a) == len(b) else best
+
+
+def _windows(short: str, long: str, floor: float) -> float:
+    """Best ratio of ``short`` against windows of its length in ``long`` and cut ones at both ends.
+
+    From one window to the next the common subsequence grows by one at most, so windows that
+    can't beat the best are passed over.
+    """
+    n, m, best = len(short), len(long), floor
+    start = 0
+    while start <= m - n:
+        common = lcs(short, long[start : start + n])
+        best = max(best, 100.0 * common / n)
+        if best == 100.0:
+            return best
+        start += max(1, int(best * n / 100.0) - common)
+    for size in range(n - 1, 0, -1):
+        if 200.0 * size / (n + size) <= best:
+            break
+        best = max(best, ratio(short, long[:size]), ratio(short, long[m - size :]))
     return best
 
 
-def weighted_ratio(a: str | None, b: str | None) -> float:
+def weighted_ratio(a: str | None, b: str | None, floor: float = 0.0) -> float:
+    """The exact value where it exceeds ``floor``; else some value that doesn't."""
     if not a or not b:
         return 0.0
     lengths = max(len(a), len(b)) / min(len(a), len(b))
-    whole = ratio(a, b)
+    best = max(floor, ratio(a, b))
     if lengths < 1.5:
-        return max(whole, 0.95 * _token_ratio(a, b, ratio))
+        return max(best, 0.95 * _token_ratio(a, b, lambda x, y, _: ratio(x, y), 0.0))
     scale = 0.9 if lengths <= 8.0 else 0.6
-    return max(whole, scale * partial_ratio(a, b), 0.95 * scale * _token_ratio(a, b, partial_ratio))
+    best = max(best, scale * partial_ratio(a, b, best / scale))
+    return max(best, 0.95 * scale * _token_ratio(a, b, partial_ratio, best / scale / 0.95))
 
 
-def _token_ratio(a: str, b: str, score) -> float:
+def _token_ratio(a: str, b: str, score, floor: float) -> float:
     left, right = sorted(a.split()), sorted(b.split())
     both = sorted(set(left) & set(right))
-    best = score(" ".join(left), " ".join(right))
+    best = score(" ".join(left), " ".join(right), floor)
     if both:
         if score is partial_ratio:
             return 100.0
@@ -92,12 +102,12 @@ def _token_ratio(a: str, b: str, score) -> float:
         if not one or not two:
             return 100.0
         joined = [" ".join([base, *one]), " ".join([base, *two])]
-        best = max(best, score(base, joined[0]), score(base, joined[1]), score(*joined))
+        best = max(best, score(base, joined[0], floor), score(base, joined[1], floor), score(*joined, floor))
     return best
 
 
 def is_duplicate(a: str | None, b: str | None, partial: float = 80, full: float = 80) -> bool:
-    return a is not None and b is not None and ((may_reach(a, b, full) and ratio(a, b) >= full) or partial_ratio(a, b) >= partial)
+    return a is not None and b is not None and ((may_reach(a, b, full) and ratio(a, b) >= full) or partial_ratio(a, b, partial - 1e-6) >= partial)
 
 
 def arrow_scorer(score):
