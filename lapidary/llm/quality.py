@@ -126,13 +126,19 @@ def features(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text")).mapInArrow(measure, FEATURES)
 
 
-def _middle(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """The lower median of a rounded value by key, from counts of each distinct value."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("n").over(by.orderBy(value))
-    ranked = counts.withColumns({"upto": upto, "all": F.sum("n").over(by)}).where(2 * F.col("upto") >= F.col("all"))
-    return ranked.groupBy(*keys).agg(F.min(value).alias(name))
+def _medians(rows: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """One row a key with the lower median of each whole-numbered value, from counts of distinct values."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(value).alias("value")) for name, value in values.items()))).alias("m")
+    counts = rows.select(*keys, each).groupBy(*keys, "m.name", "m.value").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*keys, "name")
+    ranked = counts.withColumns({"upto": F.sum("n").over(by.orderBy("value")), "all": F.sum("n").over(by)}).where(2 * F.col("upto") >= F.col("all"))
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in values))
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """Left join of a row a key, salted, since one language may hold most rows."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
 def rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", widths: float = 6.0, trusted_words: int = 50) -> DataFrame:
@@ -159,12 +165,11 @@ def rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", widths: floa
     rows = rows.withColumn("base_failed", failed).withColumns(measures).withColumns({"no_lang": F.col("lang").isNull(), "lang": F.coalesce("lang", F.lit(""))})
     trusted = rows.where(~F.col("base_failed") & (F.col("n_words") >= trusted_words))
     keys = ["no_lang", "lang"]
-    out, fits = rows, F.lit(True)
+    middles = scratch.keep(_medians(trusted, keys, {f"{m}_mid": m for m in measures}), "middles")
+    off = _with_groups(trusted, middles, keys).withColumns({f"{m}_off": F.abs(F.col(m) - F.col(f"{m}_mid")) for m in measures})
+    bands = scratch.keep(middles.join(_medians(off, keys, {f"{m}_dev": f"{m}_off" for m in measures}), keys), "bands")
+    out, fits = _with_groups(rows, bands, keys), F.lit(True)
     for name in measures:
-        middle = _middle(trusted, keys, name, f"{name}_mid")
-        off = trusted.join(middle, keys).withColumn("off", F.abs(F.col(name) - F.col(f"{name}_mid")))
-        bands = middle.join(_middle(off, keys, "off", f"{name}_dev"), keys)
-        out = out.join(bands, keys, "left")
         room = widths * F.greatest(F.col(f"{name}_dev"), F.lit(least[name]))
         # short texts vary more: their room grows as the mean of few tokens does
         room = room * F.greatest(F.lit(1.0), F.sqrt(F.lit(float(trusted_words)) / F.greatest(F.col("n_words"), F.lit(1))))
