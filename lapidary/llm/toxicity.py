@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,11 +61,14 @@ class WordDistance:
             got = self.cache[word] = len(ordinary(window)) - len(toxic(window))
         return got
 
-    def features(self, words: set[str], threshold: int) -> list[float]:
-        top = sorted(map(self, words), reverse=True)
-        high = sum(1 for d in top if d >= threshold)
-        best = top[:3] + [0] * (3 - len(top[:3]))
-        return [max(0, best[0]), max(0.0, sum(best) / 3), np.log1p(high), np.sqrt(high / max(1, len(top)))]
+
+def features(differences: np.ndarray, threshold: int) -> list[float]:
+    """Greatest difference, mean of the three greatest, and how many reach the threshold, in number and share."""
+    top = np.sort(differences)[::-1]
+    high = int((top >= threshold).sum())
+    best = np.zeros(3)
+    best[: min(3, len(top))] = top[:3]
+    return [max(0.0, float(best[0])), max(0.0, float(best.mean())), float(np.log1p(high)), float(np.sqrt(high / max(1, len(top))))]
 
 
 @dataclass
@@ -79,30 +81,51 @@ class Model:
     weights: tuple[float, ...]
 
     def score(self, distance: WordDistance, words: set[str]) -> float:
-        x = np.dot(self.weights, [1.0, *distance.features(words, self.threshold)])
+        x = np.dot(self.weights, [1.0, *features(np.fromiter(map(distance, words), np.int64, len(words)), self.threshold)])
         return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
-def _segments(words: set[str]) -> set[str]:
-    return {w + " " for w in words} | {w[:k] for w in words for k in ROOTS if len(w) >= k}
-
-
-def _dictionaries(toxic: list[set[str]], ordinary: list[set[str]], least: float, size: int) -> tuple[bytes, bytes]:
-    """Contents of both dictionaries, what matters most at the end."""
-    of_toxic, of_ordinary = (Counter(s for words in rows for s in _segments(words)) for rows in (toxic, ordinary))
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-    marks = []
-    for s, a in of_toxic.items():
-        b = of_ordinary.get(s, 0)
-        share = (a + b) / (n + m)
-        z = (a / n - b / m) / np.sqrt(max(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-        if a >= max(3, n // 200) and a / n > 15 * (b + 0.5) / m and z > least:
-            marks.append((z, s))
-    marks.sort(reverse=True)
-    double = lambda s: f" {s} {s}" if s.endswith(" ") else f" {s}"
-    toxic_part = "".join(double(s) for _, s in reversed(marks)).encode()[-size:]
-    vocabulary = sorted(((c, s) for s, c in of_ordinary.items() if s.endswith(" ")), reverse=True)[:9000]
-    return "".join(double(s) for _, s in reversed(vocabulary)).encode()[-2 * size :], toxic_part
+class _Sample:
+    """Labelled word sets with words as numbers, which takes a fraction of the strings' memory."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.number: dict[str, int] = {}
+        self.sets = [np.array([self.number.setdefault(w, len(self.number)) for w in words.split()], np.int32) for words, _ in rows]
+        self.toxic = np.array([y for _, y in rows], bool)
+        self.words = list(self.number)
+        self.kinds: list[tuple[list[str], np.ndarray]] = [([w + " " for w in self.words], np.arange(len(self.words)))]
+        for k in ROOTS:
+            own: dict[str, int] = {}
+            at = np.array([own.setdefault(w[:k], len(own)) if len(w) >= k else -1 for w in self.words], np.int32)
+            self.kinds.append((list(own), at))
+
+    def counts(self, kind: int, rows: np.ndarray) -> np.ndarray:
+        """In how many of the sets each segment of a kind occurs."""
+        names, at = self.kinds[kind]
+        out = np.zeros(len(names), np.int64)
+        for i in rows:
+            found = np.unique(at[self.sets[i]])
+            out[found[found >= 0]] += 1
+        return out
+
+    def dictionaries(self, rows: np.ndarray, least: float, size: int) -> tuple[bytes, bytes]:
+        """Contents of the ordinary and the toxic dictionary, what matters most at the end."""
+        toxic, ordinary = rows[self.toxic[rows]], rows[~self.toxic[rows]]
+        n, m = max(1, len(toxic)), max(1, len(ordinary))
+        marks: list[tuple[float, str]] = []
+        vocabulary: list[tuple[int, str]] = []
+        for kind, (names, _) in enumerate(self.kinds):
+            a, b = self.counts(kind, toxic), self.counts(kind, ordinary)
+            share = np.clip((a + b) / (n + m), 1e-9, 1 - 1e-9)
+            z = (a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
+            for i in np.flatnonzero((a >= max(3, n // 200)) & (a / n > 15 * (b + 0.5) / m) & (z > least)):
+                marks.append((float(z[i]), names[i]))
+            if kind == 0:
+                often = np.lexsort((np.arange(len(b)), -b))[:9000]
+                vocabulary = [(int(b[i]), names[i]) for i in often if b[i]]
+        double = lambda s: f" {s} {s}" if s.endswith(" ") else f" {s}"
+        parts = ("".join(double(s) for _, s in sorted(part)).encode() for part in (vocabulary, marks))
+        return next(parts)[-2 * size :], next(parts)[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -142,22 +165,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_o
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
         seen.setdefault(r.words, r.is_toxic)
-    data = [(set(w.split()), y) for w, y in sorted(seen.items())]
+    data = sorted(seen.items())
+    del rows, seen
     random.Random(seed).shuffle(data)
     both = sum(y for _, y in data)
     if not both or both == len(data):
         share = min(0.49, max(0.001, both / max(1, len(data))))
         return Model(b" " * 16, b" " * 16, 3, (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0))
-    fit, calibrate = [d for i, d in enumerate(data) if i % 3], [d for i, d in enumerate(data) if i % 3 == 0]
-    if len({y for _, y in calibrate}) < 2 or not any(y for _, y in fit):
-        fit = calibrate = data
-    y = np.array([t for _, t in calibrate], float)
+    sample = _Sample(data)
+    del data
+    every = np.arange(len(sample.sets))
+    fit, calibrate = every[every % 3 > 0], every[every % 3 == 0]
+    if len(set(sample.toxic[calibrate])) < 2 or not sample.toxic[fit].any():
+        fit = calibrate = every
+    used = np.unique(np.concatenate([sample.sets[i] for i in calibrate]))
+    y = sample.toxic[calibrate].astype(float)
     best = None
     for least in (5.0, 7.0, 12.0):
-        ordinary, toxic = _dictionaries([w for w, t in fit if t], [w for w, t in fit if not t], least, size)
-        distance = WordDistance(ordinary, toxic)
+        ordinary, toxic = sample.dictionaries(fit, least, size)
+        distance = WordDistance(ordinary, toxic, cache_words=1)
+        differences = np.zeros(len(sample.words), np.int16)
+        differences[used] = [distance(sample.words[i]) for i in used]
         for threshold in (3, 4, 5):
-            x = np.array([distance.features(w, threshold) for w, _ in calibrate])
+            x = np.array([features(differences[sample.sets[i]], threshold) for i in calibrate])
             weights = _logistic(x, y)
             p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ weights, -30, 30)))
             loss = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
