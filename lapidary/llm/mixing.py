@@ -150,10 +150,10 @@ def mix_sources(docs: DataFrame, levels: int = 4, blocks: int = 1024, most: int
 
     picked = rows.join(plan, [*by_source, "block"])
     inside = Window.partitionBy(*by_source, "block").orderBy("perm", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = picked.where(~F.col("ends_here")).withColumn("words_before", F.lit(0).cast("long"))
-    ends = picked.where("ends_here").withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # the window has the join's partitioning, so documents move once
+    out = picked.withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     last = F.when(F.col("ends_here"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("before") - F.col("words_before")))).when(F.col("extra"), F.col("size")).otherwise(0)
-    out = whole.unionByName(ends).withColumn("last", last.cast("long"))
+    out = out.withColumn("last", last.cast("long"))
     draws = F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)
     turn = F.when(draws > 0, F.sequence(F.lit(0).cast("long"), draws - 1)).otherwise(F.array().cast("array<long>"))
 
