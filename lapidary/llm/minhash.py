@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm.components import connected_components
+from lapidary.llm.resident import release
 from lapidary.llm.scratch import Scratch, small_batches
 from lapidary.llm.words import Words, mix, pieces
 
@@ -83,6 +84,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, key1 long, key2 long, sig binary, bands array<long>"
 
     def sign(batches):
+        release()
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, words in pieces(batch.column(1), fold=True):
@@ -152,6 +154,7 @@ class _Links:
         self.sigs = nodes.select("node", F.col("n_shingles").alias("n"), *_longs("sig", "s"))
 
         def sets(batches):
+            release()
             for batch in batches:
                 for lo, hi, words in pieces(batch.column(1), fold=True):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(words, k)], pa.binary())], ["node", "grams"])

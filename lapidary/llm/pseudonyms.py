@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lapidary.llm.resident import resident
 from lapidary.llm.scratch import small_batches
 
 KINDS = ("email", "secret", "iban", "card", "address", "date", "phone", "ssn")
@@ -91,7 +92,7 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, backwards: bool = False):
         self.feistel, self.backwards = Feistel(key), backwards
-        self.value = functools.lru_cache(100_000)(self._value)
+        self.value = functools.lru_cache(20_000)(self._value)
 
     def _spell(self, text: str, tweak: str, alphabets: list[str | None]) -> str:
         """Permute the characters that have an alphabet, all at once."""
@@ -195,9 +196,8 @@ class Pseudonyms:
         return "".join(out), counts
 
 
-@functools.cache
 def _pseudonyms(key: bytes, backwards: bool) -> Pseudonyms:
-    return Pseudonyms(key, backwards)
+    return resident(("pseudonyms", key, backwards), lambda: Pseudonyms(key, backwards))
 
 
 def pseudonymise(docs: DataFrame, key: bytes, backwards: bool = False) -> DataFrame:

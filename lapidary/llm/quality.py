@@ -9,13 +9,12 @@ that pass the base rules, by exact counts of rounded values.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.llm.resident import resident
 from lapidary.llm.scratch import Scratch, small_batches
 from lapidary.llm.tokens import vocabulary_path
 from lapidary.llm.words import Words, gather, mix, pieces
@@ -29,7 +28,7 @@ FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols l
 class PieceCounter:
     """Piece ids of words under a sentencepiece vocabulary, each distinct word encoded once."""
 
-    def __init__(self, vocabulary: str, cache_words: int = 300_000):
+    def __init__(self, vocabulary: str, cache_words: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(vocabulary))
@@ -55,9 +54,8 @@ class PieceCounter:
         return flat[gather((np.cumsum(lengths) - lengths)[which], each)], each
 
 
-@functools.cache
 def _counter(vocabulary: str) -> PieceCounter:
-    return PieceCounter(vocabulary)
+    return resident(("pieces", vocabulary), lambda: PieceCounter(vocabulary))
 
 
 def _repeated(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:

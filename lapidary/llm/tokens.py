@@ -7,10 +7,9 @@ Each distinct word of a run of rows is encoded once; the cache spares most of th
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
+from lapidary.llm.resident import resident
 from lapidary.llm.words import Words, gather
 
 
@@ -26,7 +25,7 @@ def vocabulary_path(name_or_path: str) -> str:
 class WordTokenizer:
     """``encode(words)`` gives token ids, tokens per word, and the same by text."""
 
-    def __init__(self, vocabulary: str, cache_words: int = 400_000):
+    def __init__(self, vocabulary: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -80,7 +79,6 @@ class WordTokenizer:
         return flat[gather(starts[which], each)], each
 
 
-@functools.cache
 def tokenizer(vocabulary: str) -> WordTokenizer:
     """One per Python worker."""
-    return WordTokenizer(vocabulary)
+    return resident(("words", vocabulary), lambda: WordTokenizer(vocabulary))

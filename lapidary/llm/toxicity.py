@@ -11,7 +11,6 @@ that the dictionaries haven't seen. Labels, language, source and id are no input
 
 from __future__ import annotations
 
-import functools
 import random
 import re
 from dataclasses import dataclass
@@ -21,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.llm.resident import resident
 from lapidary.llm.scratch import small_batches
 
 _WORD = re.compile(r"[^\W_]{3,40}")
@@ -34,7 +34,7 @@ def words_of(text: str | None) -> set[str]:
 class WordDistance:
     """Compressed length of a doubled word under the ordinary less that under the toxic dictionary."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, cache_words: int = 500_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, cache_words: int = 200_000):
         self.compressors = [self._compressor(c) for c in (ordinary, toxic)]
         self.cache: dict[str, int] = {}
         self.cache_words = cache_words
@@ -196,9 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_o
     return best[1]
 
 
-@functools.lru_cache(4)
 def _distance(ordinary: bytes, toxic: bytes) -> WordDistance:
-    return WordDistance(ordinary, toxic)
+    return resident(("distance", ordinary, toxic), lambda: WordDistance(ordinary, toxic))
 
 
 def score_column(model: Model, text: str = "text"):
