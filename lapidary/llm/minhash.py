@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm.components import connected_components
-from lapidary.llm.resident import release
+from lapidary.llm.resident import release, trim
 from lapidary.llm.scratch import Scratch, small_batches
 from lapidary.llm.words import Words, mix, pieces
 
@@ -112,6 +112,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "key1", "key2", "sig", "bands"],
                 )
+        trim()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(sign, schema)
@@ -158,6 +159,7 @@ class _Links:
             for batch in batches:
                 for lo, hi, words in pieces(batch.column(1), fold=True):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingle_sets(words, k)], pa.binary())], ["node", "grams"])
+            trim()
 
         # a merge join at every size, so that no side has to fit in memory
         texts = docs.select(F.col("doc_id").cast("long"), "text").hint("merge").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")

@@ -128,7 +128,7 @@ def string_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(column, fold: bool = False, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def pieces(column, fold: bool = False, limit: int = 1 << 19) -> Iterator[tuple[int, int, Words]]:
     """Split a column into runs of rows of about ``limit`` bytes (one row at least) and their words."""
     data, offsets = string_buffers(column)
     lo, rows = 0, len(offsets) - 1
@@ -138,7 +138,6 @@ def pieces(column, fold: bool = False, limit: int = 1 << 20) -> Iterator[tuple[i
         at = offsets[lo : hi + 1]
         yield lo, hi, Words(data[at[0] : at[-1]], at - at[0], fold)
         lo = hi
-    pa.default_memory_pool().release_unused()
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
