@@ -164,11 +164,15 @@ class Pseudonyms:
                     continue
             else:
                 return None
-            # days of the 400 years from 1801 that the calendar repeats, or of those around it
-            first = datetime.date((day.year - 1) // 400 * 400 + 1 if not 1801 <= day.year <= 2200 else 1801, 1, 1)
-            n = min(146_097, datetime.date.max.toordinal() - first.toordinal() + 1)
-            x = self.feistel.permute(day.toordinal() - first.toordinal(), n, f"date:{first.year}".encode(), self.backwards)
-            new = datetime.date.fromordinal(first.toordinal() + x)
+            # days of 400 years, as the calendar repeats: 1801 to 2200 and those before and after
+            year = 1801 + (day.year - 1801) // 400 * 400
+            first = datetime.date(max(1, year), 1, 1).toordinal()
+            n = datetime.date(min(9999, year + 399), 12, 31).toordinal() - first + 1
+            new = day
+            while True:
+                new = datetime.date.fromordinal(first + self.feistel.permute(new.toordinal() - first, n, f"date:{year}".encode(), self.backwards))
+                if form != "%m/%d/%Y" or new.day > 12:  # else it would read as day and month
+                    break
             return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
         if kind == "phone":
             code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
@@ -184,8 +188,8 @@ class Pseudonyms:
         while (m := _PATTERN.search(text, at)) is not None:
             kind = m.lastgroup
             new = self.value(kind, m[0])
-            if new is None:  # not confirmed: go on behind its first run of digits or letters
-                end = m.start() + len(re.match(r"[0-9A-Za-z]+|.", m[0], re.S)[0])
+            if new is None:  # not confirmed: it stays; what looks like an IBAN may hide others behind its first word
+                end = m.start() + len(re.match(r"[0-9A-Za-z]+|.", m[0], re.S)[0]) if kind == "iban" else m.end()
                 out.append(text[at:end])
                 at = end
                 continue
