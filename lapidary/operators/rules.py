@@ -50,6 +50,11 @@ def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _any_part(flag: str) -> Column:
+    """Whether any part of a record has the flag set."""
+    return _false(F.exists("sub_qa", lambda s: yes(s[flag])))
+
+
 def _any_word(c: Column, words: Sequence[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -74,7 +79,7 @@ class Rules:
             return F.lit(False)
         own = F.lit(False)
         for n in names:
-            own = own | yes(n) | _false(F.exists("sub_qa", lambda s, n=n: yes(s[n])))
+            own = own | yes(n) | _any_part(n)
         return own
 
     def empty_answer(self) -> Rule:
