@@ -528,7 +528,7 @@ def near_dup_pairs(spark, sf_dir):
     """Pairs of rows at most ten apart in a section whose texts are alike, by the scorers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     rows = dedup.recent_before(docs.withColumn("_row", F.struct("doc_id", "text")), "_row", "doc_id", ["lang", "source"])
-    pairs = rows.select("doc_id", "text", F.explode("recent").alias("e")).where((F.length("text") < 4000) & (F.length("e.text") < 4000))
+    pairs = rows.select("doc_id", "text", F.explode("recent").alias("e"))
     # a cheap bound before Python: equal-length share that a ratio of 80 needs
     pairs = pairs.where(3 * F.least(F.length("text"), F.length("e.text")) >= 2 * F.greatest(F.length("text"), F.length("e.text")))
     score = similarity.arrow_scorer(similarity.ratio)("text", "e.text")
