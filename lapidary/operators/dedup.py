@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import text_hash
+from lapidary.operators.lineage import cut_lineage
 from lapidary.operators.similarity import is_duplicate, weighted_ratio
 
 
@@ -26,109 +27,156 @@ def bucket_sizes(rows: DataFrame, text: str) -> DataFrame:
     return rows.groupBy(text_hash(text).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def recent_before(rows: DataFrame, value: str, order: str, within: list[str], n: int = 10) -> DataFrame:
-    """Add ``recent``: the values of the n rows before, in order."""
-    window = Window.partitionBy(*within).orderBy(order).rowsBetween(-n, -1)
-    return rows.withColumn("recent", F.collect_list(value).over(window))
+def _section(within: list[str]) -> Column:
+    """The section's columns as one string, so that null keys join like others."""
+    return F.to_json(F.struct(*within)) if within else F.lit("")
+
+
+def recent_before(rows: DataFrame, value: str, order: str | list[str], within: list[str], n: int = 10, pieces: int = 64) -> DataFrame:
+    """Add ``recent``: the values of the n rows before, in order.
+
+    A section is cut at percentiles of its first order column, a number, so that no task holds
+    all of it. Each piece also gets the n rows before it: as no piece is empty, they are among
+    the last n rows of the n pieces before. Rows of a null order come first, as one piece.
+    """
+    order = [order] if isinstance(order, str) else order
+    first = F.col(order[0])
+    keyed = rows.withColumn("_section", _section(within))
+    cuts = keyed.groupBy("_section").agg(F.percentile_approx(order[0], [i / pieces for i in range(1, pieces)], 10_000).alias("_cuts"))
+    cut = keyed.withColumn("_value", F.col(value)).join(cuts, "_section").withColumn("_piece", F.when(first.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < first)))).drop("_cuts")
+    piece = Window.partitionBy("_section", "_piece")
+    entry = F.struct(*order, F.col(value).alias("_value"))
+    last = cut.withColumn("_back", F.row_number().over(piece.orderBy(*(F.desc(c) for c in order)))).where(F.col("_back") <= n)
+    tails = last.groupBy("_section", "_piece").agg(F.collect_list(entry).alias("_tail"))
+    before = tails.withColumn("_before", F.flatten(F.collect_list("_tail").over(Window.partitionBy("_section").orderBy("_piece").rowsBetween(-n, -1))))
+    lead = before.select("_section", "_piece", F.explode("_before").alias("_e")).select("_section", "_piece", "_e.*")
+    both = cut.withColumn("_own", F.lit(True)).unionByName(lead, allowMissingColumns=True)
+    recent = F.collect_list("_value").over(piece.orderBy(*order).rowsBetween(-n, -1))
+    return both.withColumn("recent", recent).where("_own").drop("_section", "_piece", "_own", "_value")
 
 
 DECISION = "seq long, kept boolean, matched_seq long, why string"
 
 
-class SectionDedup:
-    """The order-dependent decisions within one section.
+def best_of(question: str, near: list[str]) -> str | None:
+    """The text most like the question, the first of equals."""
+    best, score = None, -1.0
+    for text in near:
+        got = weighted_ratio(question, text, max(score, 0.0))
+        if got > score:
+            best, score = text, got
+    return best
+
+
+class Decisions:
+    """The order-dependent decisions within one section, from each question's best match.
 
-    A question is held against the earlier ones of its hash and, while those are fewer than ten,
-    the last ten besides. The best match alone is judged. Questions of dropped records go on being
-    candidates; only the owners of a matched text that was replaced are forgotten.
+    Questions of dropped records go on being matched; only the owners of a matched text that was
+    replaced are forgotten. Texts are known by any key.
     """
 
-    def __init__(self, recent: int = 10, partial: float = 80, full: float = 80):
-        self.recent, self.partial, self.full = recent, partial, full
-        self.texts: list[str] = []
+    def __init__(self, partial: float = 80, full: float = 80):
+        self.partial, self.full = partial, full
         self.owners: dict[str, list[int]] = {}
-        self.by_hash: dict[int, list[str]] = {}
-        self.records: list[dict | None] = []
+        self.records: list[tuple[int, bool, str | None]] = []
         self.decisions: list[dict] = []
 
     def _same(self, a: str | None, b: str | None) -> bool:
         return is_duplicate(a, b, self.partial, self.full)
 
-    def _best(self, question: str) -> str | None:
-        near = list(self.by_hash.get(hash(question), []))
-        if len(near) < self.recent:
-            near += [t for t in self.texts[-self.recent :] if t not in near]
-        if question in near:
-            return question
-        best, score = None, -1.0
-        for text in near:
-            got = weighted_ratio(question, text, max(score, 0.0))
-            if got > score:
-                best, score = text, got
-        return best
-
-    def _remember(self, question: str, index: int) -> None:
-        self.texts.append(question)
-        same = self.by_hash.setdefault(hash(question), [])
-        if question not in same:
-            same.append(question)
-        self.owners.setdefault(question, []).append(index)
-
-    def _replace(self, old: int, text: str | None, why: str) -> None:
-        self.decisions[old].update(kept=False, why=why, matched_seq=self.records[-1]["seq"])
+    def _replace(self, old: int, text: str | None) -> None:
+        self.decisions[old].update(kept=False, why="replaced by a later record", matched_seq=self.records[-1][0])
         if text is not None:
             self.owners[text] = []
 
-    def add(self, record: dict) -> None:
+    def decide(self, seq: int, shared: bool, background: str | None, questions: list[str], matches: list[tuple[str | None, bool]]) -> None:
         index = len(self.records)
-        self.records.append(record)
-        decision = {"seq": record["seq"], "kept": True, "matched_seq": None, "why": "new"}
+        self.records.append((seq, shared, background))
+        decision = {"seq": seq, "kept": True, "matched_seq": None, "why": "new"}
         self.decisions.append(decision)
-        questions = record["questions"] if record["shared"] else [record["question"]]
-        matches: list[tuple[str, bool, list[int]]] = []
-        for q in questions:
-            text = self._best(q)
-            matches.append((text, text is not None and self._same(q, text), [i for i in self.owners.get(text, []) if self.decisions[i]["kept"] or record["shared"]]))
-            self._remember(q, index)
-        drop = lambda why, old: decision.update(kept=False, why=why, matched_seq=self.records[old]["seq"])
-        if not record["shared"]:
-            text, same, owners = matches[0]
+        found: list[list[int]] = []
+        for q, (text, _) in zip(questions, matches, strict=True):
+            found.append([i for i in self.owners.get(text, []) if self.decisions[i]["kept"] or shared])
+            self.owners.setdefault(q, []).append(index)
+        drop = lambda why, old: decision.update(kept=False, why=why, matched_seq=self.records[old][0])
+        if not shared:
+            (text, same), owners = matches[0], found[0]
             if len(owners) > 1:
                 drop("several owners", owners[0])
             elif len(owners) == 1 and same:
-                if self.records[owners[0]]["shared"]:
+                if self.records[owners[0]][1]:
                     drop("part of a shared record", owners[0])
                 else:
-                    self._replace(owners[0], text, "replaced by a later record")
+                    self._replace(owners[0], text)
                     self.owners[questions[0]] = [index]
             return
-        owners = sorted({i for _, same, found in matches if same for i in found})
+        owners = sorted({i for (_, same), own in zip(matches, found, strict=True) if same for i in own})
         if index in owners:
             drop("repeats itself", index)
         elif len(owners) > 1:
             drop("several owners", owners[0])
         elif owners:
-            old = self.records[owners[0]]
-            if not old["shared"] or self._same(record["background"], old["background"]):
-                self._replace(owners[0], None, "replaced by a later record")
+            _, old_shared, old_background = self.records[owners[0]]
+            if not old_shared or self._same(background, old_background):
+                self._replace(owners[0], None)
+
+
+def _matched(questions: DataFrame, recent: int) -> DataFrame:
+    """``section, seq, pos, key, target, same``: for each question its best match among the earlier ones.
+
+    A text that came before is its own match, whatever the distance; else the last ``recent``
+    questions compete. Keys are hashes of texts.
+    """
+
+    @F.pandas_udf("at int, same boolean")
+    def judge(text: pd.Series, near: pd.Series) -> pd.DataFrame:
+        out = []
+        for q, texts in zip(text, near, strict=True):
+            best = None if texts is None else best_of(q, list(dict.fromkeys(texts)))
+            out.append((None, False) if best is None else (list(texts).index(best), is_duplicate(q, best)))
+        return pd.DataFrame(out, columns=["at", "same"]).astype({"at": "Int32"})
+
+    place = F.struct("seq", "pos")
+    first = questions.groupBy("section", "key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = recent_before(questions, "text", ["seq", "pos"], ["section"], recent).join(first, ["section", "key"], "left")
+    # scoring is what takes time: deal the questions out, however few bytes they are
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section", "seq", "pos")
+    again = F.coalesce(F.col("first") < place, F.lit(False))
+    rows = rows.withColumn("again", again).withColumn("best", judge("text", F.when(~again, F.col("recent"))))
+    target = F.when(F.col("again"), F.col("key")).otherwise(F.md5(F.get("recent", F.col("best.at"))))
+    return rows.select("section", "seq", "pos", "key", target.alias("target"), (F.col("again") | F.col("best.same")).alias("same"))
 
 
 def _decide(frame: pd.DataFrame) -> pd.DataFrame:
-    section = SectionDedup()
+    section = Decisions()
     for r in frame.sort_values("seq").to_dict("records"):
-        subs = r["sub_questions"]
-        shared = subs is not None and len(subs) > 0
-        section.add({"seq": int(r["seq"]), "shared": shared, "question": r["question"] or "", "questions": [q or "" for q in subs] if shared else [], "background": r["background"]})
+        found = sorted(r["found"], key=lambda f: f["pos"])
+        section.decide(int(r["seq"]), r["shared"], r["background"], [f["key"] for f in found], [(f["target"], f["same"]) for f in found])
     return pd.DataFrame(section.decisions, columns=["seq", "kept", "matched_seq", "why"]).astype({"matched_seq": "Int64"})
 
 
-def fuzzy_decisions(records: DataFrame, within: list[str]) -> DataFrame:
+def fuzzy_decisions(records: DataFrame, within: list[str], recent: int = 10) -> DataFrame:
     """A decision for each of ``seq, question, background, sub_questions``, section by section.
 
-    The order within a section decides, so a section is one task; sections run side by side.
+    Best matches depend on the questions alone, not on decisions, and are found in parallel.
+    Records that neither match nor are matched are kept without more ado; the others of a
+    section are decided in order by one task, which holds hashes and backgrounds, not questions.
+    ``seq`` is unique within a section.
     """
-    rows = records.select(*within, "seq", "question", "background", "sub_questions")
-    return rows.groupBy(*within).applyInPandas(_decide, DECISION)
+    shared = F.coalesce(F.size("sub_questions") > 0, F.lit(False))
+    rows = records.select(_section(within).alias("section"), F.col("seq").cast("long").alias("seq"), "background", shared.alias("shared"), F.when(shared, F.col("sub_questions")).otherwise(F.array("question")).alias("texts"))
+    questions = rows.select("section", "seq", F.posexplode("texts").alias("pos", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    matched = cut_lineage(_matched(questions.withColumn("key", F.md5("text")), recent))
+    # a match counts if it is a duplicate or its text has several owners
+    owners = matched.groupBy("section", "key").agg(F.count("*").alias("n"))
+    matches = matched.where("target is not null").groupBy("section", F.col("target").alias("key")).agg(F.max("same").alias("any_same"))
+    active = matches.join(owners, ["section", "key"]).where("any_same or n > 1").select("section", "key")
+    touched = matched.select("section", "seq", F.explode(F.array("key", "target")).alias("key")).join(active, ["section", "key"], "left_semi").select("section", "seq").distinct()
+    found = matched.join(touched, ["section", "seq"], "left_semi").groupBy("section", "seq").agg(F.collect_list(F.struct("pos", "key", "target", "same")).alias("found"))
+    compact = rows.drop("texts").join(found, ["section", "seq"])
+    decided = compact.groupBy("section").applyInPandas(_decide, DECISION)
+    alone = rows.join(touched, ["section", "seq"], "left_anti").select("seq", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("matched_seq"), F.lit("new").alias("why"))
+    return alone.unionByName(decided)
 
 
 def stats(kept: DataFrame, total: int) -> DataFrame:

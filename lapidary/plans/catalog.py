@@ -156,7 +156,7 @@ def nested_records(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     entry = F.struct("turn", "role", "text")
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("turns"))
-    following = F.zip_with("turns", F.concat(F.slice("turns", 2, 10_000), F.array(F.lit(None).cast("struct<turn:bigint,role:string,text:string>"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    following = F.zip_with("turns", F.concat(F.slice("turns", F.lit(2), F.size("turns")), F.array(F.lit(None).cast("struct<turn:bigint,role:string,text:string>"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = F.filter(following, lambda p: (p["a"]["role"] == "user") & (p["b"]["role"] == "assistant"))
     background = F.filter("turns", lambda t: t["role"] == "system")
     return grouped.select(
@@ -537,10 +537,14 @@ def near_dup_pairs(spark, sf_dir):
 
 @query("dedup_state_machine")
 def dedup_state_machine(spark, sf_dir):
-    """The order-dependent decisions over short questions (first sentence of each document), section by section."""
-    docs = table(spark, sf_dir, "documents")
-    questions = docs.select("lang", "source", F.col("doc_id").alias("seq"), F.substring_index("text", ".", 1).alias("question"), F.lit("").alias("background"), F.lit(None).cast("array<string>").alias("sub_questions"))
-    return dedup.fuzzy_decisions(questions, ["lang", "source"])
+    """The order-dependent decisions over conversations: several user turns make a shared record, one a standalone one."""
+    records = nested_records(spark, sf_dir).where(F.size("sub_qa") > 0)
+    questions = F.col("sub_qa")["question"]
+    single = F.size("sub_qa") == 1
+    records = records.select(
+        "seq", "background", F.when(single, F.get(questions, F.lit(0))).alias("question"), F.when(~single, questions).alias("sub_questions"), F.lit("conversations").alias("section"),
+    )
+    return dedup.fuzzy_decisions(records, ["section"])
 
 
 # ---------------------------------------------------------------- JSON

@@ -1,18 +1,37 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lapidary.operators import dedup
 from lapidary.operators.jsonx import classify, extract_objects, outermost_objects, parse_repaired, without_objects
+from lapidary.operators.similarity import is_duplicate
+
+
+def plain_matches(records, recent=10):
+    """Best matches one question after the other."""
+    texts, out = [], []
+    for _, _, questions in records:
+        found = []
+        for q in questions:
+            near = [q] if q in texts else list(dict.fromkeys(texts[-recent:]))
+            best = dedup.best_of(q, near)
+            found.append((best, best is not None and is_duplicate(q, best)))
+            texts.append(q)
+        out.append(found)
+    return out
+
+
+def plain_decisions(records):
+    section = dedup.Decisions()
+    for i, (r, found) in enumerate(zip(records, plain_matches(records), strict=True)):
+        section.decide(i, r[0], r[1], r[2], found)
+    return section.decisions
 
 
 def run(*records):
-    section = dedup.SectionDedup()
-    for i, r in enumerate(records):
-        shared = isinstance(r, tuple)
-        section.add({"seq": i, "shared": shared, "question": "" if shared else r, "questions": list(r[1]) if shared else [], "background": r[0] if shared else ""})
-    return [d["kept"] for d in section.decisions]
+    return [d["kept"] for d in plain_decisions([(True, r[0], list(r[1])) if isinstance(r, tuple) else (False, "", [r]) for r in records])]
 
 
 Q1, Q2, Q3 = "What is the capital of France, and why was it chosen?", "Name three rivers that flow through Germany today.", "Solve 12 + 30 * 4 and explain each step you take."
@@ -46,6 +65,32 @@ def test_keep_latest_equals_the_machine_on_exact_copies(spark):
     assert latest == machine == {3, 4, 5}
 
 
+def test_parallel_form_equals_the_plain_one(spark):
+    rng = random.Random(8)
+    words = "amber birch cedar delta ember flint grove heath inlet jetty knoll larch".split()
+    pool = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 9))) for _ in range(25)] + [""]
+    records = []
+    for _ in range(160):
+        ask = lambda: rng.choice(pool) + rng.choice(["", "", "?", " again"])
+        shared = rng.random() < 0.4
+        records.append((shared, rng.choice(["", "of trees", "of trees.", "about water"]), [ask() for _ in range(rng.randrange(1, 4))] if shared else [ask()]))
+    frame = spark.createDataFrame([(i, None, b, None if s else q[0], q if s else None) for i, (s, b, q) in enumerate(records)], "seq long, section string, background string, question string, sub_questions array<string>")
+    got = {r.seq: (r.kept, r.matched_seq, r.why) for r in dedup.fuzzy_decisions(frame, ["section"]).collect()}
+    want = {d["seq"]: (d["kept"], d["matched_seq"], d["why"]) for d in plain_decisions(records)}
+    assert got == want and len({w[2] for w in want.values()}) >= 4
+    assert dedup.fuzzy_decisions(frame.limit(0), ["section"]).collect() == []
+
+
+def test_recent_before_across_pieces(spark):
+    frame = spark.createDataFrame([(i * i, "ab"[i % 3 > 0], f"v{i}") for i in range(120)], "k long, part string, v string")
+    for n, pieces in ((10, 64), (3, 5), (10, 200)):
+        got = {r.k: r.recent for r in dedup.recent_before(frame, "v", "k", ["part"], n, pieces).collect()}
+        for part in (0, 1):
+            own = [i for i in range(120) if (i % 3 > 0) == bool(part)]
+            assert all(got[i * i] == [f"v{j}" for j in own[max(0, at - n) : at]] for at, i in enumerate(own))
+        assert len(got) == 120
+
+
 @pytest.mark.parametrize(
     "text, want",
     [('{"a": 1}', {"a": 1}), ("```json\n{\"a\": 1}\n```", {"a": 1}), ("{'a': 1}", {"a": 1}), ('{a: 1}', {"a": 1}), ('{"a": 1 "b": 2}', {"a": 1, "b": 2}), ('{"a": "x\ty"}', {"a": "x y"}), ('{"a": 1} tail', {"a": 1}), ('{"a": "open', {"a": "open"}), ("no", None)],
