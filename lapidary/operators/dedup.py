@@ -125,24 +125,28 @@ def _matched(questions: DataFrame, recent: int) -> DataFrame:
     """``section, seq, pos, key, target, same``: for each question its best match among the earlier ones.
 
     A text that came before is its own match, whatever the distance; else the last ``recent``
-    questions compete. Keys are hashes of texts.
+    questions compete. Keys are hashes of texts. Where all records of a section are standalone, a
+    text never has several owners, so a match that is no duplicate decides nothing: questions
+    without any duplicate among the last ones are not scored and have no target there.
     """
 
     @F.pandas_udf("at int, same boolean")
-    def judge(text: pd.Series, near: pd.Series) -> pd.DataFrame:
+    def judge(text: pd.Series, near: pd.Series, mixed: pd.Series) -> pd.DataFrame:
         out = []
-        for q, texts in zip(text, near, strict=True):
-            best = None if texts is None else best_of(q, list(dict.fromkeys(texts)))
+        for q, texts, whole in zip(text, near, mixed, strict=True):
+            others = [] if texts is None else list(dict.fromkeys(texts))
+            best = best_of(q, others) if whole or any(is_duplicate(q, t) for t in others) else None
             out.append((None, False) if best is None else (list(texts).index(best), is_duplicate(q, best)))
         return pd.DataFrame(out, columns=["at", "same"]).astype({"at": "Int32"})
 
     place = F.struct("seq", "pos")
+    kinds = questions.groupBy("section").agg(F.max("shared").alias("mixed"))
     first = questions.groupBy("section", "key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = recent_before(questions, "text", ["seq", "pos"], ["section"], recent).join(first, ["section", "key"], "left")
+    rows = recent_before(questions, "text", ["seq", "pos"], ["section"], recent).join(first, ["section", "key"], "left").join(kinds, "section")
     # scoring is what takes time: deal the questions out, however few bytes they are
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section", "seq", "pos")
     again = F.coalesce(F.col("first") < place, F.lit(False))
-    rows = rows.withColumn("again", again).withColumn("best", judge("text", F.when(~again, F.col("recent"))))
+    rows = rows.withColumn("again", again).withColumn("best", judge("text", F.when(~again, F.col("recent")), "mixed"))
     target = F.when(F.col("again"), F.col("key")).otherwise(F.md5(F.get("recent", F.col("best.at"))))
     return rows.select("section", "seq", "pos", "key", target.alias("target"), (F.col("again") | F.col("best.same")).alias("same"))
 
@@ -165,7 +169,7 @@ def fuzzy_decisions(records: DataFrame, within: list[str], recent: int = 10) ->
     """
     shared = F.coalesce(F.size("sub_questions") > 0, F.lit(False))
     rows = records.select(_section(within).alias("section"), F.col("seq").cast("long").alias("seq"), "background", shared.alias("shared"), F.when(shared, F.col("sub_questions")).otherwise(F.array("question")).alias("texts"))
-    questions = rows.select("section", "seq", F.posexplode("texts").alias("pos", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    questions = rows.select("section", "seq", "shared", F.posexplode("texts").alias("pos", "text")).withColumn("text", F.coalesce("text", F.lit("")))
     matched = cut_lineage(_matched(questions.withColumn("key", F.md5("text")), recent))
     # a match counts if it is a duplicate or its text has several owners
     owners = matched.groupBy("section", "key").agg(F.count("*").alias("n"))

@@ -7,6 +7,8 @@ combines them with token-sorted and token-set forms, as the public scorers of th
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections import Counter
 
 import pandas as pd
@@ -17,17 +19,38 @@ def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one integer operation a character of ``b``."""
     if not a or not b:
         return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    ones = (1 << len(a)) - 1
-    row = ones
+    row = ones = (1 << len(a)) - 1
+    places = _places(a)
     for c in b:
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & ones
     return len(a) - row.bit_count()
 
 
+@functools.lru_cache(4)
+def _places(a: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    size = len(a) // 8 + 1
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        if c not in places:
+            places[c] = bytearray(size)
+        places[c][i >> 3] |= 1 << (i & 7)
+    return {c: int.from_bytes(bits, "little") for c, bits in places.items()}
+
+
+def _growing(a: str, b: str, least: int):
+    """Sizes of beginnings of ``b`` above ``least`` with the length of their longest common subsequence with ``a``."""
+    n = len(a)
+    row = ones = (1 << n) - 1
+    places = _places(a)
+    for size, c in enumerate(b, 1):
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & ones
+        if size > least:
+            yield size, n - row.bit_count()
+
+
 def ratio(a: str | None, b: str | None) -> float:
     if a is None or b is None:
         return 0.0
@@ -59,21 +82,35 @@ def partial_ratio(a: str | None, b: str | None, floor: float = 0.0) -> float:
 def _windows(short: str, long: str, floor: float) -> float:
     """Best ratio of ``short`` against windows of its length in ``long`` and cut ones at both ends.
 
-    From one window to the next the common subsequence grows by one at most, so windows that
-    can't beat the best are passed over.
+    Cut windows of all sizes take one pass from each end. No window shares more with ``short``
+    than the stretch that holds it: stretches that can't beat the best are passed over, others
+    are halved, the most promising first.
     """
     n, m, best = len(short), len(long), floor
-    start = 0
-    while start <= m - n:
-        common = lcs(short, long[start : start + n])
-        best = max(best, 100.0 * common / n)
-        if best == 100.0:
-            return best
-        start += max(1, int(best * n / 100.0) - common)
-    for size in range(n - 1, 0, -1):
-        if 200.0 * size / (n + size) <= best:
-            break
-        best = max(best, ratio(short, long[:size]), ratio(short, long[m - size :]))
+    if best >= 100.0:
+        return best
+    least = int(best * n / (200.0 - best))  # a cut window of that size can't beat the best
+    for a, b in ((short, long[: n - 1]), (short[::-1], long[: m - n : -1])):
+        for size, common in _growing(a, b, least):
+            best = max(best, 200.0 * common / (n + size))
+    # an upper bound, the first and the last start of a stretch's windows
+    open_ = [(-100.0, lo, min(lo + n - 1, m - n)) for lo in range(0, m - n + 1, n)]
+    heap = []
+    while open_ or heap:
+        for _, lo, hi in open_:
+            bound = 100.0 * lcs(short, long[lo : hi + n]) / n
+            if bound > best:
+                if lo == hi:
+                    best = bound
+                else:
+                    heapq.heappush(heap, (-bound, lo, hi))
+        open_ = []
+        if heap:
+            bound, lo, hi = heapq.heappop(heap)
+            if -bound <= best:
+                break
+            middle = (lo + hi) // 2
+            open_ = [(bound, lo, middle), (bound, middle + 1, hi)]
     return best
 
 
@@ -107,7 +144,17 @@ def _token_ratio(a: str, b: str, score, floor: float) -> float:
 
 
 def is_duplicate(a: str | None, b: str | None, partial: float = 80, full: float = 80) -> bool:
-    return a is not None and b is not None and ((may_reach(a, b, full) and ratio(a, b) >= full) or partial_ratio(a, b, partial - 1e-6) >= partial)
+    if a is None or b is None:
+        return False
+    if not a or not b:
+        return a == b or min(partial, full) <= 0
+    common, short = lcs(a, b), min(len(a), len(b))
+    if 200.0 * common / (len(a) + len(b)) >= full:
+        return True
+    # no window shares more than the whole does, and none is smaller than what it shares
+    if 200.0 * common < (partial - 1e-6) * (short + common):
+        return False
+    return partial_ratio(a, b, partial - 1e-6) >= partial
 
 
 def arrow_scorer(score):

@@ -537,14 +537,10 @@ def near_dup_pairs(spark, sf_dir):
 
 @query("dedup_state_machine")
 def dedup_state_machine(spark, sf_dir):
-    """The order-dependent decisions over conversations: several user turns make a shared record, one a standalone one."""
-    records = nested_records(spark, sf_dir).where(F.size("sub_qa") > 0)
-    questions = F.col("sub_qa")["question"]
-    single = F.size("sub_qa") == 1
-    records = records.select(
-        "seq", "background", F.when(single, F.get(questions, F.lit(0))).alias("question"), F.when(~single, questions).alias("sub_questions"), F.lit("conversations").alias("section"),
-    )
-    return dedup.fuzzy_decisions(records, ["section"])
+    """The order-dependent decisions over the whole texts of documents, language by language: each is a standalone record."""
+    docs = table(spark, sf_dir, "documents")
+    questions = docs.select("lang", F.col("doc_id").alias("seq"), F.col("text").alias("question"), F.lit("").alias("background"), F.lit(None).cast("array<string>").alias("sub_questions"))
+    return dedup.fuzzy_decisions(questions, ["lang"])
 
 
 # ---------------------------------------------------------------- JSON

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lapidary.operators import dedup
 from lapidary.operators.jsonx import classify, extract_objects, outermost_objects, parse_repaired, without_objects
 from lapidary.operators.similarity import is_duplicate
+from lapidary.plans import catalog
 
 
 def plain_matches(records, recent=10):
@@ -116,3 +117,25 @@ def test_extraction_keeps_lineage_and_finds_rows_without(spark):
     assert sorted((r.id, r.position, r.kind) for r in found.withColumn("kind", F.coalesce(classify(), F.lit("-"))).collect()) == [(1, 0, "shared"), (1, 1, "standalone"), (5, 0, "-")]
     assert sorted(r.id for r in without_objects(frame, found, "id").collect()) == [2, 3, 4]
     assert extract_objects(frame, "answer", outer=True).where("value is null").count() == 3
+
+
+def write_documents(spark, folder):
+    """Documents of one language and two sources: copies far apart, and a text within a much longer one."""
+    rng = random.Random(9)
+    words = "amber birch cedar delta ember flint grove heath inlet jetty knoll larch maple north ocean".split()
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randrange(100)) for _ in range(n))
+    texts = [text(rng.randrange(5, 40)) for _ in range(40)]
+    texts[5] = text(600)
+    texts[8] = texts[5][900:3400]
+    for i in (17, 18, 35):
+        texts[i] = texts[2]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return texts
+
+
+def test_dedup_state_machine_judges_whole_documents(spark, tmp_path):
+    texts = write_documents(spark, tmp_path)
+    got = {r.seq: (r.kept, r.matched_seq, r.why) for r in catalog.QUERIES["dedup_state_machine"](spark, str(tmp_path)).collect()}
+    assert got == {d["seq"]: (d["kept"], d["matched_seq"], d["why"]) for d in plain_decisions([(False, "", [t]) for t in texts])}
+    assert [i for i, g in got.items() if not g[0]] and {i for i in (2, 5, 17, 18) if not got[i][0]} == {2, 5, 17, 18} and got[35][0] and got[8][0]

@@ -52,3 +52,13 @@ def test_ratio_vectors(a, b, want):
 def test_duplicates():
     assert is_duplicate("a short question", "see: a short question, please") and not is_duplicate("abc", "xyz") and not is_duplicate(None, "a")
     assert weighted_ratio("", "a") == 0 and weighted_ratio("new york mets", "mets new york") == pytest.approx(95)
+
+
+def test_long_texts_against_all_windows():
+    rng = random.Random(6)
+    words = "".join(rng.choice("etaoin shrdlu") for _ in range(700))
+    noisy = "".join(c for c in words[300:420] if rng.random() < 0.93)
+    for a, b in ((noisy, words), (words[::-1][:90], words), (words[620:] + "zzzz", words), ("zz" + words[:50], words)):
+        n = len(a)
+        want = max(200.0 * lcs(a, w) / (n + len(w)) for s in range(1 - n, len(words)) if (w := words[max(s, 0) : s + n]))
+        assert partial_ratio(a, b) == pytest.approx(want) and is_duplicate(a, b) == (want >= 80 or ratio(a, b) >= 80)
