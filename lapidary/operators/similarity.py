@@ -157,11 +157,16 @@ def is_duplicate(a: str | None, b: str | None, partial: float = 80, full: float
     return partial_ratio(a, b, partial - 1e-6) >= partial
 
 
-def arrow_scorer(score):
-    """A scorer of two string columns as an Arrow-batched function."""
-
-    @F.pandas_udf("double")
-    def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+def duplicate_scorer():
+    """Both ratios of two string columns that are duplicates, as an Arrow-batched function: nulls for others, and for a partial ratio below 80."""
+
+    @F.pandas_udf("ratio double, partial double")
+    def apply(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            same = is_duplicate(x, y)
+            partial = partial_ratio(x, y, 80 - 1e-6) if same else 0.0
+            out.append((ratio(x, y) if same else None, partial if partial >= 80 else None))
+        return pd.DataFrame(out, columns=["ratio", "partial"], dtype=float)
 
     return apply

@@ -525,14 +525,21 @@ def corpus_overlap_exact(spark, sf_dir):
 
 @query("near_dup_pairs")
 def near_dup_pairs(spark, sf_dir):
-    """Pairs of rows at most ten apart in a section whose texts are alike, by the scorers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    rows = dedup.recent_before(docs.withColumn("_row", F.struct("doc_id", "text")), "_row", "doc_id", ["lang", "source"])
-    pairs = rows.select("doc_id", "text", F.explode("recent").alias("e"))
-    # a cheap bound before Python: equal-length share that a ratio of 80 needs
-    pairs = pairs.where(3 * F.least(F.length("text"), F.length("e.text")) >= 2 * F.greatest(F.length("text"), F.length("e.text")))
-    score = similarity.arrow_scorer(similarity.ratio)("text", "e.text")
-    return pairs.select("doc_id", F.col("e.doc_id").alias("other_id"), F.round(score, 6).alias("ratio")).where("ratio >= 80")
+    """Pairs of rows in a language whose texts are duplicates by ratio or partial ratio: a row with the ten before it, and
+    with the first row of its text, whatever the distance. ``partial`` is null below 80.
+
+    Through its first row a text's rows are all linked, without a pair for every two of them.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = dedup.recent_before(docs.withColumn("_row", F.struct("doc_id", "text")), "_row", "doc_id", ["lang"])
+    # scoring is what takes time: deal the rows out, however few bytes they are
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    near = rows.select("doc_id", "text", F.explode("recent").alias("e")).withColumn("score", similarity.duplicate_scorer()("text", "e.text"))
+    near = near.where("score.ratio is not null").select("doc_id", F.col("e.doc_id").alias("other_id"), F.round("score.ratio", 6).alias("ratio"), F.round("score.partial", 6).alias("partial"))
+    keys = docs.select("doc_id", "lang", F.md5("text").alias("key"))
+    first = keys.groupBy("lang", "key").agg(F.min("doc_id").alias("other_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = keys.join(first, ["lang", "key"]).where("doc_id > other_id").select("doc_id", "other_id", F.lit(100.0).alias("ratio"), F.lit(100.0).alias("partial"))
+    return near.union(equal).distinct()
 
 
 @query("dedup_state_machine")

@@ -139,3 +139,11 @@ def test_dedup_state_machine_judges_whole_documents(spark, tmp_path):
     got = {r.seq: (r.kept, r.matched_seq, r.why) for r in catalog.QUERIES["dedup_state_machine"](spark, str(tmp_path)).collect()}
     assert got == {d["seq"]: (d["kept"], d["matched_seq"], d["why"]) for d in plain_decisions([(False, "", [t]) for t in texts])}
     assert [i for i, g in got.items() if not g[0]] and {i for i in (2, 5, 17, 18) if not got[i][0]} == {2, 5, 17, 18} and got[35][0] and got[8][0]
+
+
+def test_near_dup_pairs_have_far_copies_and_contained_texts(spark, tmp_path):
+    texts = write_documents(spark, tmp_path)
+    got = {(r.doc_id, r.other_id) for r in catalog.QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()}
+    near = {(i, j) for i in range(len(texts)) for j in range(max(0, i - 10), i) if is_duplicate(texts[i], texts[j])}
+    assert got == near | {(i, texts.index(t)) for i, t in enumerate(texts) if texts.index(t) < i}
+    assert {(17, 2), (18, 2), (18, 17), (35, 2), (8, 5)} <= got
