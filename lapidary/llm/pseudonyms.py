@@ -35,6 +35,15 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _HINT = re.compile("[0-9@]")
+#: cards as they are usually written, the shorter first; within a run of digit groups one may follow a hyphen
+_CARDS = [
+    re.compile(rf"(?<![0-9A-Za-z.+])(?:{shape})(?![0-9A-Za-z])")
+    for shape in ("[0-9]{13,19}", "[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}", "[0-9]{4}([ -])[0-9]{6}\\1[0-9]{4,5}", "[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,3}")
+]
+#: twelve digits in fours that more stand before or behind are no phone, but of a card that may fail its check
+_FOURS = re.compile("(?<=[0-9]{4}[ -])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]")
+_SHORTER = re.compile("[0-9](?=[ -])")
+_OTHERS = {kind: re.compile(next(x for x in _PATTERN.pattern.split("\n") if f"(?P<{kind}>" in x).strip().removeprefix("|").replace(f"(?P<{kind}>", "(?:"), re.VERBOSE) for kind in ("address", "date", "phone", "ssn")}
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -179,6 +188,44 @@ class Pseudonyms:
             return self._digits(text, "phone", len(code[0]) - 1 if code else 0)
         return self._digits(text, kind)
 
+    def _usual_card(self, text: str, at: int) -> tuple[int, str] | None:
+        """End and pseudonym of the card in a usual form that starts there."""
+        for form in _CARDS:
+            if (m := form.match(text, at)) and (new := self.value("card", m[0])) is not None:
+                return m.end(), new
+        return None
+
+    def _other(self, text: str, at: int) -> tuple[str, int, str] | None:
+        for kind, form in _OTHERS.items():
+            if (m := form.match(text, at)) and (new := self.value(kind, m[0])) is not None:
+                if kind != "phone" or not _FOURS.match(text, at):
+                    return kind, m.end(), new
+        return None
+
+    def _in_run(self, text: str, start: int, end: int) -> tuple[int, str, int, str] | None:
+        """Start, kind, end and pseudonym of the value at the start of a run of digit groups, or of a card right behind its first group.
+
+        Usual cards come first; then cards in other groups, the longest first, unless another
+        value starts within them; then other kinds, unless a usual card starts within them.
+        """
+        if card := self._usual_card(text, start):
+            return start, "card", *card
+        starts = [m.start() for m in re.finditer("(?<=[ -])[0-9]", text[start:end])]
+        hidden = next(((start + i, card) for i in starts if (card := self._usual_card(text, start + i))), None)
+        other = self._other(text, start)
+        inner = [i for i in (0, *starts) if self._other(text, start + i)]
+        for stop in (end, *(start + m.end() for m in reversed(list(_SHORTER.finditer(text[start : end + 1]))) if start + m.end() < end)):
+            if sum(c.isdigit() for c in text[start:stop]) < 13:
+                break
+            if (hidden is None or hidden[0] >= stop) and not any(start + i < stop for i in inner):
+                if (new := self.value("card", text[start:stop])) is not None:
+                    return start, "card", stop, new
+        if other and (hidden is None or other[1] <= hidden[0]):
+            return start, *other
+        if hidden and hidden[0] == start + starts[0]:
+            return hidden[0], "card", *hidden[1]
+        return None
+
     def replace(self, text: str) -> tuple[str, list[int]]:
         """The text with pseudonyms, and how many values of each of KINDS it had."""
         counts = [0] * len(KINDS)
@@ -186,16 +233,20 @@ class Pseudonyms:
             return text, counts
         out, at = [], 0
         while (m := _PATTERN.search(text, at)) is not None:
-            kind = m.lastgroup
-            new = self.value(kind, m[0])
-            if new is None:  # not confirmed: it stays; what looks like an IBAN may hide others behind its first word
-                end = m.start() + len(re.match(r"[0-9A-Za-z]+|.", m[0], re.S)[0]) if kind == "iban" else m.end()
+            kind, start, end = m.lastgroup, m.start(), m.end()
+            if kind == "card":
+                found = self._in_run(text, start, end)
+                start, kind, end, new = found or (start, kind, end, None)
+            else:
+                new = None if kind == "phone" and _FOURS.match(text, start) else self.value(kind, m[0])
+            if new is None:  # not confirmed: it stays; an IBAN's first word or a run's first digits may hide others behind them
+                end = start + len(re.match(r"[0-9A-Za-z]+|.", m[0], re.S)[0]) if kind in ("iban", "card", "phone") else end
                 out.append(text[at:end])
                 at = end
                 continue
-            out += [text[at : m.start()], new]
+            out += [text[at:start], new]
             counts[KINDS.index(kind)] += 1
-            at = m.end()
+            at = end
         out.append(text[at:])
         return "".join(out), counts
 

@@ -41,6 +41,26 @@ def test_round_trip_of_random_values():
             assert back.value(kind, new) == value
 
 
+@pytest.mark.parametrize("text, kinds, gone", [
+    ("4111 1111 1111 1111 123", ["card"], ["4111 1111"]),
+    ("4111111111111111 12 items", ["card"], ["4111111"]),
+    ("order 12 4111 1111 1111 1111", ["card"], ["4111 1111"]),
+    ("1999-12-31 2000-01-15", ["date", "date"], ["1999-12-31", "2000-01-15"]),
+    ("078-05-1120 1999-12-31", ["ssn", "date"], ["078-05-1120", "1999-12-31"]),
+    ("555-123-4567 555-123-4568", ["phone", "phone"], ["555-123-4567", "555-123-4568"]),
+    ("12-4111111111111111", ["card"], ["4111111"]),
+    ("1999-12-31 12 4111 1111 1111 1111 7", ["date", "card"], ["1999-12-31", "4111 1111"]),
+    ("41 1111 11 11111111 12 pieces", ["card"], ["41 1111"]),
+    ("4111 1111 1111 11 11", ["card"], ["4111 1111"]),
+])
+def test_values_beside_other_digits(text, kinds, gone):
+    for k in range(40):
+        key = bytes([k]) * 16
+        new, counts = Pseudonyms(key).replace(text)
+        assert counts == [kinds.count(kind) for kind in KINDS] and not any(g in new for g in gone)
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text) and Pseudonyms(key, backwards=True).replace(new)[0] == text
+
+
 def test_linked_across_documents_and_edges(spark):
     rows = [(1, "x 10.1.2.3 y"), (2, "10.1.2.3"), (2, "10.1.2.3"), (3, None), (4, ""), (5, "w " * 100_000 + TEXT)]
     frame = docs_frame(spark, rows).withColumnRenamed("lang", "found")
