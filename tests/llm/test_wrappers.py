@@ -39,3 +39,16 @@ def test_template_text_goes_where_no_article_is(spark):
     assert len(got) == len(rows) and [r.text for r in got[:6]] == [f"Body {i} {'w' * i}".strip() for i in range(6)]
     assert got[6].text == "" and got[6].n_chars == 0 and got[7].text == got[8].text and got[9].text == ""
     assert extract(frame.limit(0)).collect() == []
+
+
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(extract(frame).collect(), key=lambda r: r.page_id)]
+
+
+def test_copies_of_one_page_keep_their_body(spark):
+    page = "<div><h1>Title</h1></div><div><p>One paragraph.</p></div><div><h3>Another one.</h3></div>"
+    own = "<div><h5>All rights here</h5></div><div><p>Body {}</p></div>"
+    got = texts_of(spark, [("copies.example", page)] * 4 + [("both.example", own.format(i // 2)) for i in range(8)] + [("few.example", own.format(i // 3)) for i in range(6)])
+    assert got[:4] == ["Title\n\nOne paragraph.\n\nAnother one."] * 4
+    assert got[4:12] == [f"Body {i // 2}" for i in range(8)] and got[12] == "All rights here\n\nBody 0"
