@@ -52,3 +52,13 @@ def test_copies_of_one_page_keep_their_body(spark):
     got = texts_of(spark, [("copies.example", page)] * 4 + [("both.example", own.format(i // 2)) for i in range(8)] + [("few.example", own.format(i // 3)) for i in range(6)])
     assert got[:4] == ["Title\n\nOne paragraph.\n\nAnother one."] * 4
     assert got[4:12] == [f"Body {i // 2}" for i in range(8)] and got[12] == "All rights here\n\nBody 0"
+
+
+def test_template_text_inside_the_article_goes_too(spark):
+    page = "<article><h1>Head {0}</h1><p>Body {0} of some length that differs</p><p>Get our letter every week, it costs nothing at all!</p></article>"
+    version = "<main><h1>One head</h1><p>The long paragraph that all versions share with each other.</p><p>And a second one that they share.</p><p>Version {0}</p></main>"
+    quoted = "<article><p>Paragraph {0} of this page, long enough.</p><p>{1}</p></article>"
+    got = texts_of(spark, [("a.example", page.format(i)) for i in range(5)] + [("b.example", version.format(i)) for i in range(5)] + [("c.example", quoted.format(i, "Quoted." if i < 3 else f"Own {i}.")) for i in range(9)])
+    assert got[:5] == [f"Head {i}\n\nBody {i} of some length that differs" for i in range(5)]
+    assert got[5:10] == [f"One head\n\nThe long paragraph that all versions share with each other.\n\nAnd a second one that they share.\n\nVersion {i}" for i in range(5)]
+    assert all("Quoted." in t for t in got[10:13])
