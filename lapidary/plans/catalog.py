@@ -532,8 +532,6 @@ def near_dup_pairs(spark, sf_dir):
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     rows = dedup.recent_before(docs.withColumn("_row", F.struct("doc_id", "text")), "_row", "doc_id", ["lang"])
-    # scoring is what takes time: deal the rows out, however few bytes they are
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     near = rows.select("doc_id", "text", F.explode("recent").alias("e")).withColumn("score", similarity.duplicate_scorer()("text", "e.text"))
     near = near.where("score.ratio is not null").select("doc_id", F.col("e.doc_id").alias("other_id"), F.round("score.ratio", 6).alias("ratio"), F.round("score.partial", 6).alias("partial"))
     keys = docs.select("doc_id", "lang", F.md5("text").alias("key"))
