@@ -509,13 +509,21 @@ def candidate_window(spark, sf_dir):
 
 
 def passage_hits(docs: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """Documents that contain a whole passage: an equi-join on the passage's first words, then a test."""
+    """Documents that contain a whole passage: an equi-join on the passage's words behind the first, then a test.
+
+    Other characters may be glued to a passage's first and last word, not to those between.
+    Passages without enough words between are tested against each document.
+    """
     split = lambda c: F.filter(F.split(c, "\\s+"), lambda x: x != "")
-    heads = passages.withColumn("_w", split("text")).where(F.size("_w") >= words).select("item_id", F.col("text").alias("_passage"), F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")).alias("_head"))
+    known = passages.select("item_id", F.col("text").alias("_passage"), split("text").alias("_w"))
+    heads = known.where(F.size("_w") >= words + 2).select("item_id", "_passage", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_head"))
     grams = docs.select("doc_id", "text", split("text").alias("_w")).where(F.size("_w") >= words)
     spots = F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
     found = grams.select("doc_id", F.explode(F.array_distinct(spots)).alias("_head")).join(heads, "_head").select("doc_id", "item_id", "_passage").distinct()
-    return docs.join(found, "doc_id").where(F.contains("text", F.col("_passage"))).select("doc_id", "item_id").distinct()
+    long = docs.join(found, "doc_id").where(F.contains("text", F.col("_passage"))).select("doc_id", "item_id")
+    few = known.where(F.size("_w") < words + 2).select("item_id", "_passage")
+    short = docs.join(F.broadcast(few), F.contains("text", F.col("_passage"))).select("doc_id", "item_id")
+    return long.union(short).distinct()
 
 
 @query("corpus_overlap_exact", r"select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text) where len(list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '')) >= 8")

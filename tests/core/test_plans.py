@@ -100,3 +100,13 @@ def test_queries_have_statements_and_run(spark):
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     for name in ("rule_reason_counts", "coverage", "json_repair", "corpus_overlap_exact"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_passages_glued_and_short(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    texts = [f'he said ("{passage}") twice', f"x{passage}y", passage.replace("six", "6"), "so: three short words, then", "ten", passage[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passages = [passage, "three short words", "two three four five six seven eight nine", "absent"]
+    frame = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    got = {tuple(r) for r in catalog.passage_hits(docs, frame).collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if p in t} and {(0, 0), (1, 0), (3, 1), (0, 2)} <= got
