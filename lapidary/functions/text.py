@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.schema import YES
 
 _FULL_UPPER = "".join(chr(0xFF21 + i) for i in range(26))
 _HALF_UPPER = "".join(chr(0x41 + i) for i in range(26))
-#: tokens of the default tokenizer: a run of letters or digits, a white-space character, any other character
-TOKENS = "[\\p{L}\\p{N}]+|\\s|[^\\p{L}\\p{N}\\s]"
+#: tokens of the default tokenizer outside Chinese: a run of letters or digits, a white-space character, any other character
+TOKENS = "[\\p{L}\\p{N}&&[^\\p{IsHan}]]+|\\s|[^\\p{L}\\p{N}\\s]"
+#: Chinese is written without spaces: its words are counted as so many characters each, a usual mean
+HAN_PER_WORD = 1.6
 
 
 def strip(c: Column | str) -> Column:
@@ -44,9 +46,14 @@ def has_complete_options(c: Column | str, letters: str = "ABCD") -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def token_count(c: Column | str) -> Column:
-    """Tokens of the default tokenizer, punctuation and white space included."""
-    return F.coalesce(F.regexp_count(c, F.lit(TOKENS)), F.lit(0)).cast("long")
+def token_count(c: Column | str, han_per_word: float = HAN_PER_WORD) -> Column:
+    """Tokens of the default tokenizer, punctuation and white space included.
+
+    Runs of letters or digits and single other characters count one each; Chinese characters
+    count one for every ``han_per_word``, rounded up over the text.
+    """
+    han = F.ceil(F.regexp_count(c, F.lit("\\p{IsHan}")) / F.lit(han_per_word))
+    return F.coalesce(F.regexp_count(c, F.lit(TOKENS)) + han, F.lit(0)).cast("long")
 
 
 def yes(c: Column | str) -> Column:
@@ -98,6 +105,23 @@ def nulls_to_empty(columns: list[str]) -> dict[str, Column]:
     return {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
 
 
+def without_nulls(records: DataFrame) -> DataFrame:
+    """Null numbers, questions, answers and backgrounds of records made empty, in parts too.
+
+    The background always; of a record with a list of parts only the parts' fields, else its own.
+    """
+    listed = F.col("sub_qa").isNotNull()
+    fields = ("number", "question", "answer")
+
+    def filled(part: Column) -> Column:
+        for f in fields:
+            part = part.withField(f, F.coalesce(part[f], F.lit("")))
+        return part
+
+    own = {f: F.when(listed, F.col(f)).otherwise(F.coalesce(f, F.lit(""))) for f in fields}
+    return records.withColumns({"background": F.coalesce("background", F.lit("")), **own, "sub_qa": F.transform("sub_qa", filled)})
+
+
 def formatted_id(c: Column | str, width: int = 7) -> Column:
     return F.format_string(f"%0{width}d", c)
 

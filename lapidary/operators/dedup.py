@@ -27,9 +27,9 @@ def bucket_sizes(rows: DataFrame, text: str) -> DataFrame:
     return rows.groupBy(text_hash(text).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _section(within: list[str]) -> Column:
+def section_key(within: list[str]) -> Column:
     """The section's columns as one string, so that null keys join like others."""
-    return F.to_json(F.struct(*within)) if within else F.lit("")
+    return F.to_json(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(within)))) if within else F.lit("")
 
 
 def recent_before(rows: DataFrame, value: str, order: str | list[str], within: list[str], n: int = 10, pieces: int = 64) -> DataFrame:
@@ -41,7 +41,7 @@ def recent_before(rows: DataFrame, value: str, order: str | list[str], within: l
     """
     order = [order] if isinstance(order, str) else order
     first = F.col(order[0])
-    keyed = rows.withColumn("_section", _section(within))
+    keyed = rows.withColumn("_section", section_key(within))
     cuts = keyed.groupBy("_section").agg(F.percentile_approx(order[0], [i / pieces for i in range(1, pieces)], 10_000).alias("_cuts"))
     cut = keyed.withColumn("_value", F.col(value)).join(cuts, "_section").withColumn("_piece", F.when(first.isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < first)))).drop("_cuts")
     piece = Window.partitionBy("_section", "_piece")
@@ -55,7 +55,7 @@ def recent_before(rows: DataFrame, value: str, order: str | list[str], within: l
     return both.withColumn("recent", recent).where("_own").drop("_section", "_piece", "_own", "_value")
 
 
-DECISION = "seq long, kept boolean, matched_seq long, why string"
+DECISION = "section string, seq long, position int, kept boolean, matched_seq long, matched_position int, why string"
 
 
 def best_of(question: str, near: list[str]) -> str | None:
@@ -71,58 +71,70 @@ def best_of(question: str, near: list[str]) -> str | None:
 class Decisions:
     """The order-dependent decisions within one section, from each question's best match.
 
-    Questions of dropped records go on being matched; only the owners of a matched text that was
-    replaced are forgotten. Texts are known by any key.
+    Every record owns its questions' texts, a dropped one too; replacing a record takes it off all
+    of its texts. Texts are known by any key.
     """
 
     def __init__(self, partial: float = 80, full: float = 80):
         self.partial, self.full = partial, full
         self.owners: dict[str, list[int]] = {}
-        self.records: list[tuple[int, bool, str | None]] = []
+        self.records: list[tuple] = []
         self.decisions: list[dict] = []
 
-    def _same(self, a: str | None, b: str | None) -> bool:
-        return is_duplicate(a, b, self.partial, self.full)
+    def _drop(self, index: int, why: str, other: int) -> None:
+        if self.decisions[index]["kept"]:
+            seq, position = self.records[other][0]
+            self.decisions[index].update(kept=False, why=why, matched_seq=seq, matched_position=position)
 
-    def _replace(self, old: int, text: str | None) -> None:
-        self.decisions[old].update(kept=False, why="replaced by a later record", matched_seq=self.records[-1][0])
-        if text is not None:
-            self.owners[text] = []
+    def _replace(self, old: int) -> None:
+        """The newest record takes the place of an older one."""
+        self._drop(old, "replaced by a later record", len(self.records) - 1)
+        for text in set(self.records[old][3]):
+            self.owners[text] = [i for i in self.owners[text] if i != old]
 
-    def decide(self, seq: int, shared: bool, background: str | None, questions: list[str], matches: list[tuple[str | None, bool]]) -> None:
+    def decide(self, place: tuple[int, int], shared: bool, background: str | None, questions: list[str], matches: list[tuple[str | None, bool]]) -> None:
         index = len(self.records)
-        self.records.append((seq, shared, background))
-        decision = {"seq": seq, "kept": True, "matched_seq": None, "why": "new"}
-        self.decisions.append(decision)
-        found: list[list[int]] = []
-        for q, (text, _) in zip(questions, matches, strict=True):
-            found.append([i for i in self.owners.get(text, []) if self.decisions[i]["kept"] or shared])
-            self.owners.setdefault(q, []).append(index)
-        drop = lambda why, old: decision.update(kept=False, why=why, matched_seq=self.records[old][0])
-        if not shared:
-            (text, same), owners = matches[0], found[0]
-            if len(owners) > 1:
-                drop("several owners", owners[0])
-            elif len(owners) == 1 and same:
-                if self.records[owners[0]][1]:
-                    drop("part of a shared record", owners[0])
-                else:
-                    self._replace(owners[0], text)
-                    self.owners[questions[0]] = [index]
-            return
-        owners = sorted({i for (_, same), own in zip(matches, found, strict=True) if same for i in own})
-        if index in owners:
-            drop("repeats itself", index)
-        elif len(owners) > 1:
-            drop("several owners", owners[0])
+        self.records.append((place, shared, background, questions))
+        self.decisions.append({"seq": place[0], "position": place[1], "kept": True, "matched_seq": None, "matched_position": None, "why": "new"})
+        if shared:
+            self._decide_shared(index, questions, matches)
+        else:
+            self._decide_standalone(index, matches[0])
+            self.owners.setdefault(questions[0], []).append(index)
+
+    def _decide_standalone(self, index: int, match: tuple[str | None, bool]) -> None:
+        text, same = match
+        owners = sorted(set(self.owners.get(text, ())))
+        if len(owners) > 1:
+            self._drop(index, "several owners", owners[0])
+        elif owners and same:
+            if self.records[owners[0]][1]:
+                self._drop(index, "part of a shared record", owners[0])
+            else:
+                self._replace(owners[0])
+
+    def _decide_shared(self, index: int, questions: list[str], matches: list[tuple[str | None, bool]]) -> None:
+        found: set[int] = set()
+        for question, (text, same) in zip(questions, matches, strict=True):
+            if same:
+                found.update(self.owners.get(text, ()))
+            self.owners.setdefault(question, []).append(index)
+        owners = sorted(found)
+        if len(owners) > 1:
+            self._drop(index, "several owners", owners[0])
         elif owners:
-            _, old_shared, old_background = self.records[owners[0]]
-            if not old_shared or self._same(background, old_background):
-                self._replace(owners[0], None)
+            old = owners[0]
+            _, old_shared, old_background, _ = self.records[old]
+            if old_shared and not is_duplicate(self.records[index][2], old_background, self.partial, self.full):
+                return
+            if old == index:
+                self._drop(index, "repeats itself", index)
+            else:
+                self._replace(old)
 
 
 def _matched(questions: DataFrame, recent: int) -> DataFrame:
-    """``section, seq, pos, key, target, same``: for each question its best match among the earlier ones.
+    """``section, seq, position, pos, key, target, same``: for each question its best match among the earlier ones.
 
     A text that came before is its own match, whatever the distance; else the last ``recent``
     questions compete. Keys are hashes of texts. Where all records of a section are standalone, a
@@ -139,47 +151,55 @@ def _matched(questions: DataFrame, recent: int) -> DataFrame:
             out.append((None, False) if best is None else (list(texts).index(best), is_duplicate(q, best)))
         return pd.DataFrame(out, columns=["at", "same"]).astype({"at": "Int32"})
 
-    place = F.struct("seq", "pos")
+    place = F.struct("seq", "position", "pos")
     kinds = questions.groupBy("section").agg(F.max("shared").alias("mixed"))
     first = questions.groupBy("section", "key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = recent_before(questions, "text", ["seq", "pos"], ["section"], recent).join(first, ["section", "key"], "left").join(kinds, "section")
+    rows = recent_before(questions, "text", ["seq", "position", "pos"], ["section"], recent).join(first, ["section", "key"], "left").join(kinds, "section")
     # scoring is what takes time: deal the questions out, however few bytes they are
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section", "seq", "pos")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section", "seq", "position", "pos")
     again = F.coalesce(F.col("first") < place, F.lit(False))
     rows = rows.withColumn("again", again).withColumn("best", judge("text", F.when(~again, F.col("recent")), "mixed"))
     target = F.when(F.col("again"), F.col("key")).otherwise(F.md5(F.get("recent", F.col("best.at"))))
-    return rows.select("section", "seq", "pos", "key", target.alias("target"), (F.col("again") | F.col("best.same")).alias("same"))
+    return rows.select("section", "seq", "position", "pos", "key", target.alias("target"), (F.col("again") | F.col("best.same")).alias("same"))
 
 
 def _decide(frame: pd.DataFrame) -> pd.DataFrame:
     section = Decisions()
-    for r in frame.sort_values("seq").to_dict("records"):
+    for r in frame.sort_values(["seq", "position"]).to_dict("records"):
         found = sorted(r["found"], key=lambda f: f["pos"])
-        section.decide(int(r["seq"]), r["shared"], r["background"], [f["key"] for f in found], [(f["target"], f["same"]) for f in found])
-    return pd.DataFrame(section.decisions, columns=["seq", "kept", "matched_seq", "why"]).astype({"matched_seq": "Int64"})
+        section.decide((int(r["seq"]), int(r["position"])), r["shared"], r["background"], [f["key"] for f in found], [(f["target"], bool(f["same"])) for f in found])
+    out = pd.DataFrame(section.decisions, columns=["seq", "position", "kept", "matched_seq", "matched_position", "why"]).astype({"matched_seq": "Int64", "matched_position": "Int32"})
+    return out.assign(section=frame["section"].iloc[0])
 
 
 def fuzzy_decisions(records: DataFrame, within: list[str], recent: int = 10) -> DataFrame:
-    """A decision for each of ``seq, question, background, sub_questions``, section by section.
+    """A decision for each of ``seq, [position,] question, background, sub_questions``, section by section.
 
+    Within a section, the values of ``within`` as JSON, records are known and ordered by ``seq``
+    and, where several come from one line, ``position``.
     Best matches depend on the questions alone, not on decisions, and are found in parallel.
     Records that neither match nor are matched are kept without more ado; the others of a
     section are decided in order by one task, which holds hashes and backgrounds, not questions.
-    ``seq`` is unique within a section.
     """
     shared = F.coalesce(F.size("sub_questions") > 0, F.lit(False))
-    rows = records.select(_section(within).alias("section"), F.col("seq").cast("long").alias("seq"), "background", shared.alias("shared"), F.when(shared, F.col("sub_questions")).otherwise(F.array("question")).alias("texts"))
-    questions = rows.select("section", "seq", "shared", F.posexplode("texts").alias("pos", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    position = F.col("position").cast("int") if "position" in records.columns else F.lit(0)
+    rows = records.select(
+        section_key(within).alias("section"), F.col("seq").cast("long").alias("seq"), position.alias("position"), "background", shared.alias("shared"),
+        F.when(shared, F.col("sub_questions")).otherwise(F.array("question")).alias("texts"),
+    )
+    record = ["section", "seq", "position"]
+    questions = rows.select(*record, "shared", F.posexplode("texts").alias("pos", "text")).withColumn("text", F.coalesce("text", F.lit("")))
     matched = cut_lineage(_matched(questions.withColumn("key", F.md5("text")), recent))
     # a match counts if it is a duplicate or its text has several owners
     owners = matched.groupBy("section", "key").agg(F.count("*").alias("n"))
     matches = matched.where("target is not null").groupBy("section", F.col("target").alias("key")).agg(F.max("same").alias("any_same"))
     active = matches.join(owners, ["section", "key"]).where("any_same or n > 1").select("section", "key")
-    touched = matched.select("section", "seq", F.explode(F.array("key", "target")).alias("key")).join(active, ["section", "key"], "left_semi").select("section", "seq").distinct()
-    found = matched.join(touched, ["section", "seq"], "left_semi").groupBy("section", "seq").agg(F.collect_list(F.struct("pos", "key", "target", "same")).alias("found"))
-    compact = rows.drop("texts").join(found, ["section", "seq"])
+    touched = matched.select(*record, F.explode(F.array("key", "target")).alias("key")).join(active, ["section", "key"], "left_semi").select(record).distinct()
+    found = matched.join(touched, record, "left_semi").groupBy(record).agg(F.collect_list(F.struct("pos", "key", "target", "same")).alias("found"))
+    compact = rows.drop("texts").join(found, record)
     decided = compact.groupBy("section").applyInPandas(_decide, DECISION)
-    alone = rows.join(touched, ["section", "seq"], "left_anti").select("seq", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("matched_seq"), F.lit("new").alias("why"))
+    none = lambda kind: F.lit(None).cast(kind)
+    alone = rows.join(touched, record, "left_anti").select(*record, F.lit(True).alias("kept"), none("long").alias("matched_seq"), none("int").alias("matched_position"), F.lit("new").alias("why"))
     return alone.unionByName(decided)
 
 

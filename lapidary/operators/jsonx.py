@@ -106,7 +106,7 @@ def object_table(keys: tuple[str, ...] = ("题目编号", "题目背景知识"),
                 if isinstance(value, dict) and (not keys or any(k in value for k in keys)):
                     yield i, json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
-    return F.udtf(Objects, returnType="position int, value string")
+    return F.udtf(Objects, returnType="position int, value string", useArrow=True)
 
 
 def extract_objects(rows: DataFrame, text: str, keys: tuple[str, ...] = ("题目编号", "题目背景知识"), outer: bool = False) -> DataFrame:
@@ -114,12 +114,9 @@ def extract_objects(rows: DataFrame, text: str, keys: tuple[str, ...] = ("题目
 
     Text without a brace never reaches Python.
     """
-    spark = rows.sparkSession
-    spark.udtf.register("lapidary_objects", object_table(keys))
-    rows.createOrReplaceTempView("lapidary_object_rows")
-    join = "left join lateral" if outer else "join lateral"
-    condition = " on true" if outer else ""
-    return spark.sql(f"select r.*, o.position, o.value from lapidary_object_rows r {join} lapidary_objects(case when contains(r.`{text}`, '{{') then r.`{text}` else '' end) o{condition}")
+    braced = F.when(F.col(text).contains("{"), F.col(text)).otherwise("")
+    objects = object_table(keys)(braced.outer())
+    return rows.lateralJoin(objects, F.lit(True), "left") if outer else rows.lateralJoin(objects)
 
 
 def classify(value="value"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lapidary.functions import paths as P
 from lapidary.functions import text as X
 from lapidary.operators import dedup, joins, jsonx, prompts, rules, tables
+from lapidary.operators.lineage import cut_lineage
 from lapidary.schema import records_from_json
 
 
@@ -50,13 +51,19 @@ def extract_records(lines: DataFrame, source_type: str = "unknown_source") -> tu
 
 
 def filter_and_dedup(records: DataFrame, library: rules.Rules | None = None, routes=rules.ROUTES, within: tuple[str, ...] = ("source_type", "section")) -> tuple[DataFrame, DataFrame]:
-    """Rules first, then the order-dependent de-duplication of what passes; kept and rejected rows."""
-    kept, rejected = rules.kept_and_rejected(rules.route(records, library, routes))
+    """Rules first, then the order-dependent de-duplication of what passes; kept and rejected rows.
+
+    A record is known by its section, line (``seq``) and place in the line's answer (``position``).
+    """
+    # extraction and rules feed several joins: they run once
+    kept, rejected = rules.kept_and_rejected(cut_lineage(rules.route(records, library, routes)))
+    if "position" not in kept.columns:
+        kept, rejected = (d.withColumn("position", F.lit(0)) for d in (kept, rejected))
     keyed = kept.withColumn("sub_questions", F.transform("sub_qa", lambda s: s["question"]))
-    decisions = dedup.fuzzy_decisions(keyed, list(within)).select("seq", F.col("kept").alias("stays"), "why")
-    judged = kept.join(decisions, "seq")
+    decisions = dedup.fuzzy_decisions(keyed, list(within)).select(F.col("section").alias("_section"), "seq", "position", F.col("kept").alias("stays"), "why")
+    judged = kept.withColumn("_section", dedup.section_key(list(within))).join(decisions, ["_section", "seq", "position"]).drop("_section")
     lost = judged.where("not stays").withColumn("err_type", F.concat(F.lit("重复: "), F.col("why"))).drop("stays", "why")
-    return judged.where("stays").drop("stays", "why"), rejected.unionByName(lost)
+    return X.without_nulls(judged.where("stays").drop("stays", "why")), rejected.unionByName(lost)
 
 
 def check_tasks(records: DataFrame, config: DataFrame, texts: prompts.Prompts) -> tuple[DataFrame, DataFrame]:

@@ -24,10 +24,52 @@ def plain_matches(records, recent=10):
     return out
 
 
+def plain_kept(records):
+    """What stays, told step by step over one list of (text, record or None) entries."""
+    entries, kept, matches = [], {}, plain_matches(records)
+    owning = lambda text: [r for t, r in entries if t == text and r is not None]
+
+    def forget(old):
+        for i, (t, r) in enumerate(entries):
+            if r == old and t in records[old][2]:
+                entries[i] = (t, None)
+
+    for now, (shared, background, questions) in enumerate(records):
+        if not shared:
+            best, same = matches[now][0]
+            owners = set(owning(best))
+            stays = len(owners) < 2
+            if len(owners) == 1 and same:
+                (old,) = owners
+                stays = not records[old][0]
+                if stays:
+                    kept[old] = False
+                    forget(old)
+            entries.append((questions[0], now))
+            kept[now] = stays
+            continue
+        owners = []
+        for q, (best, same) in zip(questions, matches[now]):
+            owners += owning(best) if same else []
+            entries.append((q, now))
+        stays = len(set(owners)) < 2
+        if len(set(owners)) == 1:
+            old = owners[0]
+            if not records[old][0] or is_duplicate(background, records[old][1]):
+                if old == now:
+                    stays = False
+                else:
+                    kept[old] = False
+                    forget(old)
+        kept[now] = stays
+    return [kept[i] for i in range(len(records))]
+
+
 def plain_decisions(records):
     section = dedup.Decisions()
     for i, (r, found) in enumerate(zip(records, plain_matches(records), strict=True)):
-        section.decide(i, r[0], r[1], r[2], found)
+        section.decide((i, 0), r[0], r[1], r[2], found)
+    assert [d["kept"] for d in section.decisions] == plain_kept(records)
     return section.decisions
 
 
@@ -51,6 +93,27 @@ def test_shared_and_standalone():
     assert run(("bg", [Q1, Q1])) == [False]  # a record that repeats itself goes, as in the reference
 
 
+def test_owners_of_dropped_and_replaced_records():
+    t, u, v = Q1, Q2, Q3
+    # the first is replaced and owns neither text any more, so the fourth meets one owner
+    assert run(("about apples and pears", [t, u]), t, ("about apples and pears", [u]), ("of kings, wars, xyz 7788", [t])) == [False, False, True, True]
+    # two dropped records still own a text: a later one meets several owners
+    assert run(("about apples and pears", [t, u]), t, t, ("about apples and pears", [u]), t)[-1] is False
+    assert run((None, [t, t]), v) == [True, True]  # nothing is like a missing background
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_sections_agree_with_the_plain_telling(seed):
+    rng = random.Random(seed)
+    pool = [Q1, Q2, Q3, Q1 + " Really?", Q2.replace("Germany", "France"), "", "short"]
+    ask = lambda: rng.choice(pool)
+    records = []
+    for _ in range(40):
+        shared = rng.random() < 0.5
+        records.append((shared, rng.choice(["", None, "of trees and birds", "of trees and bird", "about water"]), [ask() for _ in range(rng.randrange(1, 4))] if shared else [ask()]))
+    plain_decisions(records)  # asserts
+
+
 def test_candidates_are_the_last_ten():
     far = [f"{w} question number {i} about {w * 3}" for i, w in enumerate("alpha bravo kilo lima mike oscar papa romeo tango xray zulu".split())]
     near = Q1.replace("chosen", "picked")

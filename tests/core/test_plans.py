@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.functions import paths as P
+from lapidary.functions import text as X
 from lapidary.operators import inventory, joins, prompts, tables
 from lapidary.plans import catalog, pipeline
 from lapidary.sources import readers, sinks
@@ -88,6 +89,28 @@ def test_extract_filter_and_tasks(spark):
     assert json.loads(done.first().value)["query"].endswith("|题目1  yes|r") and unknown.count() == 0
 
 
+def test_a_line_of_several_questions_keeps_them(spark):
+    ask = lambda n, text: {"题目编号": n, "题目内容": text, "对应答案": None if n == "3" else "yes"}
+    long = ["alpha beta gamma " * 12, "one two three " * 12, "red green blue " * 12]
+    answer = json.dumps([ask(str(i + 1), q) for i, q in enumerate(long)], ensure_ascii=False)
+    line = lambda section: json.dumps({"id": {"source_type": "英语", "section": section}, "answer": answer}, ensure_ascii=False)
+    records, _ = pipeline.extract_records(spark.createDataFrame([(0, line("s")), (0, line("t")), (5, line("t"))], "seq long, value string"))
+    kept, rejected = pipeline.filter_and_dedup(records)
+    got = sorted((r.section, r.seq, r.position, r.answer) for r in kept.collect())
+    assert got == [(s, q, i, "yes" if i < 2 else "") for s, q in (("s", 0), ("t", 5)) for i in range(3)]
+    assert rejected.count() == 3
+
+
+def test_chinese_tokens_and_short_questions(spark):
+    asked = "下列词语中字形没有任何错误的一项是什么"
+    texts = [asked, "你好", "abc中文def 12。", "", None, "two words"]
+    assert col(spark, X.token_count("p"), *texts) == [12, 2, 2 + 2 + 3, 0, 0, 3]
+    line = json.dumps({"id": {"source_type": "语文", "section": "s"}, "answer": json.dumps([{"题目编号": str(i), "题目内容": q, "对应答案": "好"} for i, q in enumerate([asked, "写作"])], ensure_ascii=False)}, ensure_ascii=False)
+    records, _ = pipeline.extract_records(spark.createDataFrame([(0, line)], "seq long, value string"))
+    kept, rejected = pipeline.filter_and_dedup(records)
+    assert [r.question for r in kept.collect()] == [asked] and [r.err_type for r in rejected.collect()] == ["题目过短"]
+
+
 def test_stream_drops_repeats(spark, tmp_path):
     rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1)), (1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2024, 1, 2))], "id int, ts timestamp_ntz")
     rows.write.parquet(str(tmp_path / "in"))
