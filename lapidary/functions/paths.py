@@ -42,6 +42,7 @@ def safe_name(c: Column | str) -> Column:
     return F.translate(F.rtrim(F.regexp_replace(c, "[^\\p{L}\\p{N} _-]", "")), " ", "_")
 
 
+#: fixed values in this module: folder names that tell packages, questions and answers
 def after_marker(c: Column | str, marker: str = "试题包") -> tuple[Column, Column]:
     """The segments before a marker segment: the one right before it and the one before that."""
     s = segments(c)
@@ -103,7 +104,48 @@ def absolute(c: Column | str, root: str) -> Column:
     return F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c))
 
 
+def package_number(c: Column | str, marker: str = "试题包") -> Column:
+    """The first folder below a marker segment, ``.`` for a file right in it; null without the marker."""
+    s = segments(c)
+    at = F.array_position(s, marker).cast("int")
+    return F.when(at > 0, F.when(F.size(s) - at > 1, F.try_element_at(s, at + 1)).otherwise("."))
+
+
+#: fixed values: school levels in the order in which they are tried
+LEVELS = ("高中", "初中", "小学")
+
+
+def batch_level_and_subject(c: Column | str, batch: str) -> tuple[Column, Column]:
+    """Level and subject of a folder ``{batch}_{level}{subject}``; of another level, what stands before and
+    behind the first underscore, both the whole where there is none. Null without the batch's prefix."""
+    c = F.col(c) if isinstance(c, str) else c
+    rest = F.when(c.startswith(f"{batch}_"), F.substring(c, len(batch) + 2, 1 << 20))
+    level, subject = F.substring_index(rest, "_", 1), F.when(rest.contains("_"), F.regexp_extract(rest, "(?s)^[^_]*_(.*)$", 1)).otherwise(rest)
+    for name in reversed(LEVELS):
+        level = F.when(rest.startswith(name), name).otherwise(level)
+        subject = F.when(rest.startswith(name), F.substring(rest, len(name) + 1, 1 << 20)).otherwise(subject)
+    return level, subject
+
+
+#: fixed values: subjects that go under another name, and those whose two kinds of books share a corpus
+SUBJECT_ALIASES = {"道德与法治": "政治"}
+CORPORA = {"英语-辅学类": "英语", "英语-刷题类": "英语", "语文-辅学类": "语文", "语文-刷题类": "语文"}
+
+
+def subject_alias(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(*(F.when(c == k, v) for k, v in SUBJECT_ALIASES.items()), c)
+
+
+def corpus_path(c: Column | str, folder: str) -> Column:
+    """The delivered corpus of a subject: ``{folder}/{subject}.txt``."""
+    c = F.col(c) if isinstance(c, str) else c
+    name = F.coalesce(*(F.when(c == k, v) for k, v in CORPORA.items()), subject_alias(c))
+    return F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(".txt"))
+
+
 def names_joined(images: Column | str) -> Column:
+    """Base names of a list of paths joined by ``;``; blank ones don't count. A single path is ``names_joined(array(path))``."""
     kept = F.filter(images, lambda x: F.trim(x) != "")
     return F.array_join(F.transform(kept, lambda x: base_name(F.trim(x))), ";")
 

@@ -26,3 +26,21 @@ def delete(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def saved(row_id: Column, table_next: Column) -> Column:
     """The id a new row is saved under: its own, else the table's next."""
     return F.coalesce(row_id, table_next)
+
+
+#: the columns that a lookup answers with, the id formatted
+ANSWER = "id cas_number name english_name concentration specification weight formula manufacturer molecular_structure_image product_number category batch_number storage_time remark".split()
+
+
+def answer_rows(rows: DataFrame) -> DataFrame:
+    """Inventory rows as a lookup gives them: 15 columns, the id in seven digits and the time as text."""
+    from lapidary.functions.text import formatted_id, formatted_time
+
+    special = {"id": formatted_id("id"), "storage_time": formatted_time("storage_time")}
+    return rows.select(*(special.get(c, F.col(c)).alias(c) for c in ANSWER))
+
+
+def files_of(removed: DataFrame, folder: str, image: str = "molecular_structure_image") -> DataFrame:
+    """Paths of the image files that go with deleted rows."""
+    name = F.substring_index(image, "/", -1)
+    return removed.where(F.coalesce(F.trim(image), F.lit("")) != "").select(F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path")).distinct()

@@ -37,6 +37,13 @@ def pairing_stats(paired: DataFrame) -> DataFrame:
     return paired.agg(count(there("left") & there("right")).alias("matched"), count(~there("right")).alias("left_only"), count(~there("left")).alias("right_only"))
 
 
+def export_stats(paired: DataFrame, exported: DataFrame, description: str = "description") -> DataFrame:
+    """One row: the counts of a full positional join, pairs that gave no export row, and distinct descriptions."""
+    done = exported.agg(F.count("*").alias("_done"), F.count_distinct(description).alias("descriptions"))
+    both = pairing_stats(paired).join(done, F.lit(True))  # one row each
+    return both.select("matched", "left_only", "right_only", (F.col("matched") - F.col("_done")).alias("failed"), "descriptions")
+
+
 def config_join(rows: DataFrame, config: DataFrame, key: str, most_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Rows with their configuration, and those whose key has none. The configuration's size is checked before it is broadcast."""
     small = F.broadcast(config) if config.limit(most_rows + 1).count() <= most_rows else config

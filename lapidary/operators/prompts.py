@@ -19,9 +19,14 @@ def fill(template: Column | str, values: dict[str, Column]) -> Column:
     return out
 
 
+#: fixed values: subjects whose pictures and tables may be missing
+SPECIAL = ("地理", "信息科技", "信息技术")
+
+
 class Prompts:
     """Builds the text of a stage for a row from templates by name."""
 
+    #: fixed values: the stages
     STAGES = ("1_ocr", "2_extract_qa", "3_check_availability", "质检单轮", "质检多轮-1", "质检多轮-2")
 
     def __init__(self, templates: dict[str, str]):
@@ -33,7 +38,7 @@ class Prompts:
     def extract(self, subject: Column, question_types: Column, rules: Column) -> Column:
         return fill(self.templates["extract_qa"], {"subject": subject, "question_types": question_types, "extract_qa_rules": rules})
 
-    def check(self, subject: Column, query: Column, answer: Column, rules: Column, special: tuple[str, ...] = ("地理", "信息科技", "信息技术"), language: str = "语文") -> Column:
+    def check(self, subject: Column, query: Column, answer: Column, rules: Column, special: tuple[str, ...] = SPECIAL, language: str = "语文") -> Column:
         values = {"query": query, "answer": answer, "check_rules": rules, "subject": subject}
         text = lambda name: fill(self.templates[name], values)
         return F.when(subject.isin(*special), text("check_special")).when(subject == language, text("check_language")).otherwise(text("check"))
@@ -41,7 +46,14 @@ class Prompts:
     def quality(self, stage: str, query: Column) -> Column:
         if stage not in self.STAGES[3:]:
             raise ValueError(f"no stage {stage!r}")
-        return fill(self.templates[stage], {"query": query})
+        text = fill(self.templates[stage], {"query": query})
+        # the last stage has a template of its own for these subjects, chosen where the query is the subject's name
+        special = self.templates.get(f"{stage}-special")
+        return F.when(query.isin(*SPECIAL), fill(special, {"query": query})).otherwise(text) if special and stage == self.STAGES[-1] else text
+
+    def unified(self, query: Column) -> Column:
+        """The one template of the image check."""
+        return fill(self.templates["unified"], {"query": query})
 
     def build(self, stage: str, **values: Column) -> Column:
         """Dispatch by stage name; an unknown stage is an error."""

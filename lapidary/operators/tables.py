@@ -77,3 +77,35 @@ def missing_report(names: DataFrame, column: str) -> DataFrame:
     """Numbered lines of a report's names in order; reports are small, so the one ordered window is stated."""
     nth = F.row_number().over(Window.orderBy(column))
     return names.select(F.format_string("%d. %s", nth, F.col(column)).alias("line"))
+
+
+def distinct_paths(rows: DataFrame, column: str, root: str) -> DataFrame:
+    """Distinct absolute paths of an array column; blank ones don't count."""
+    from lapidary.functions.paths import absolute
+
+    each = rows.select(F.explode(column).alias("path")).select(F.trim("path").alias("path")).where("path <> ''")
+    return each.select(absolute("path", root).alias("path")).distinct()
+
+
+def picture_line_stats(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One row of counts over export lines: all, valid JSON, invalid, with pictures, with an empty list of them."""
+    v = F.try_parse_json(column)
+    text = F.trim(column) != ""
+    pictures = F.trim(F.try_variant_get(v, "$.dialogContent[0].content[0].PIC", "string"))
+    inside = F.try_variant_get(v, "$.dialogContent[0].content[0]", "variant").isNotNull()
+    return lines.agg(
+        F.count("*").alias("total_lines"),
+        F.count_if(text & v.isNotNull()).alias("valid_lines"),
+        F.count_if(text & v.isNull()).alias("invalid_lines"),
+        F.count_if(inside & (pictures != "")).alias("lines_with_pictures"),
+        F.count_if(inside & (F.coalesce(pictures, F.lit("")) == "")).alias("lines_without"),
+    )
+
+
+def non_blank_total(lines: DataFrame, column: str = "value") -> DataFrame:
+    return lines.agg(F.count_if(F.regexp_replace(column, "\\s", "") != "").alias("lines"))
+
+
+def samples(rows: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """The first ``n`` values in order, for a report."""
+    return rows.select(column).orderBy(column).limit(n)

@@ -46,7 +46,9 @@ LATIN_ROUTES = (("en", "english"), ("de", "politics"), ("fr", "history"), ("es",
 
 
 def tokens_sql(column: str) -> str:
-    return rf"len(regexp_extract_all({column}, '[\p{{L}}\p{{N}}]+|\s|[^\p{{L}}\p{{N}}\s]'))"
+    """Chinese runs become signs of their own, which are taken off again; their characters count by the mean word."""
+    other = rf"len(regexp_extract_all(regexp_replace({column}, '\p{{Han}}+', chr(1), 'g'), '[\p{{L}}\p{{N}}]+|\s|[^\p{{L}}\p{{N}}\s]'))"
+    return rf"({other} - len(regexp_extract_all({column}, '\p{{Han}}+')) + cast(ceil(len(regexp_extract_all({column}, '\p{{Han}}')) / {X.HAN_PER_WORD}) as bigint))"
 
 
 
@@ -125,9 +127,10 @@ def table_flag_filter(spark, sf_dir):
     return flagged.select("seq", Rules(LATIN).table().hit.alias("hit"))
 
 
-@query("token_counts", f"select doc_id, {tokens_sql('text')} as tokens from documents")
+@query("token_counts", f"select doc_id, {tokens_sql('text')} as tokens, {tokens_sql('mixed')} as mixed from (select *, source || '中文词语' || lang || '，加点字' || doc_id || '中' as mixed from documents)")
 def token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.token_count("text").alias("tokens"))
+    mixed = F.concat("source", F.lit("中文词语"), "lang", F.lit("，加点字"), F.col("doc_id").cast("string"), F.lit("中"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.token_count("text").alias("tokens"), X.token_count(mixed).alias("mixed"))
 
 
 @query("answer_normalise", r"select p_partkey, upper(regexp_replace(p_name, '[\s,、，]+', '', 'g')) as answer from part")

@@ -16,7 +16,10 @@ def answer_text(v: Column) -> Column:
     """``answer_mode4`` where the key is there, else ``answer``; an object as its JSON."""
     from lapidary.schema import has
 
-    pick = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.to_json(F.try_variant_get(v, f"$.{k}", "variant")))
+    def pick(k: str) -> Column:
+        value = F.try_variant_get(v, f"$.{k}", "variant")
+        return F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
+
     return F.when(has(v, "answer_mode4"), pick("answer_mode4")).otherwise(pick("answer"))
 
 
@@ -82,11 +85,11 @@ def ocr_tasks(images: DataFrame, batch: str, source: str) -> DataFrame:
     section, origin = P.after_marker("path")
     rows = images.select(
         "path", section.alias("section"), origin.alias("origin"), P.sub_type("path").alias("sub"), P.stem(P.from_end("path", 1)).alias("name"),
-        F.coalesce(P.from_end("path", 3), F.lit("")).alias("package"),
+        F.coalesce(P.package_number("path"), F.lit("")).alias("package"), F.coalesce(P.from_end("path", 3), F.lit("")).alias("above"),
     )
     grouped = rows.groupBy("section", "origin", "name", "sub").agg(
         F.array_sort(F.collect_set("package")).alias("package_num"),
-        F.transform(F.array_sort(F.collect_list(F.struct("package", "path"))), lambda x: x["path"]).alias("url"),
+        F.transform(F.array_sort(F.collect_list(F.struct("above", "path"))), lambda x: x["path"]).alias("url"),
     )
     label = F.concat_ws("_", F.lit(batch), "origin", F.lit(source))
     return grouped.select(label.alias("source_type"), "section", "sub", F.concat("name", F.lit(".jpg")).alias("image"), "package_num", "url")
@@ -94,9 +97,11 @@ def ocr_tasks(images: DataFrame, batch: str, source: str) -> DataFrame:
 
 def platform_export(single: DataFrame, multi: DataFrame, first: str = "Gemini", second: str = "Qwen3") -> DataFrame:
     """Two models' checks of records paired by answer and place, as export rows by source type."""
-    pairs = tables.merged(joins.positional_join(single, multi, "answer_key", ["seq"]))
-    description = F.concat_ws("\n", F.coalesce("left.source_type", F.lit("")), F.concat(F.lit(f"{first}："), F.coalesce("left.verdict", F.lit(""))), F.concat(F.lit(f"{second}："), F.coalesce("right.verdict", F.lit(""))))
-    content = F.struct(P.names_joined(F.coalesce("left.img_path", "right.img_path")).alias("PIC"), F.coalesce("left.qa_question", "right.qa_question").alias("q"), F.coalesce("left.qa_answer", "right.qa_answer").alias("a"))
+    pairs = joins.positional_join(single, multi, "answer_key", ["seq"])
+    # what a side says of its original record, else the other's
+    either = lambda f: F.coalesce(F.col(f"left.{f}"), F.col(f"right.{f}"))
+    description = F.concat_ws("\n", F.coalesce(either("source_type"), F.lit("")), F.concat(F.lit(f"{first}："), F.coalesce("left.verdict", F.lit(""))), F.concat(F.lit(f"{second}："), F.coalesce("right.verdict", F.lit(""))))
+    content = F.struct(P.names_joined(either("img_path")).alias("PIC"), either("qa_question").alias("q"), either("qa_answer").alias("a"))
     dialog = F.array(F.struct(F.lit("").alias("qualified"), F.array(content).alias("content")))
-    source = F.coalesce(F.nullif(F.trim("left.source_type"), F.lit("")), F.lit("未知"))
-    return pairs.select(source.alias("source_type"), F.to_json(F.struct(dialog.alias("dialogContent"), F.lit("zh").alias("language"), F.lit("").alias("queryExample"), F.lit("TODO").alias("taskCategory"), description.alias("categoryDesc"))).alias("value"))
+    source = F.coalesce(F.nullif(F.trim(either("source_type")), F.lit("")), F.lit("未知"))
+    return pairs.select(source.alias("source_type"), description.alias("description"), F.to_json(F.struct(dialog.alias("dialogContent"), F.lit("zh").alias("language"), F.lit("").alias("queryExample"), F.lit("TODO").alias("taskCategory"), description.alias("categoryDesc"))).alias("value"))

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 IMAGES = ("png", "jpg", "jpeg", "bmp", "gif")
+#: fixed values: the extensions that a reconciliation counts as images
+ALL_IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "svg")
+#: files whose names end in .json, in any case
+JSON = "*.[jJ][sS][oO][nN]"
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str, mode: str = "skip") -> DataFrame:
     """JSON lines under a declared schema. ``skip`` drops bad lines, ``report`` keeps them in ``corrupt`` with
-    their file, ``strict`` stops at the first. Files may end in ``.json`` in any case; blank lines are none."""
-    reader = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]*").schema(schema)
+    their file, ``strict`` stops at the first. Files end in ``.json`` in any case; blank lines are none."""
+    reader = spark.read.option("pathGlobFilter", JSON).schema(schema)
     if mode == "report":
         columns = f"{schema if isinstance(schema, str) else ', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, corrupt string"
-        reader = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]*").schema(columns).option("columnNameOfCorruptRecord", "corrupt")
+        reader = spark.read.option("pathGlobFilter", JSON).schema(columns).option("columnNameOfCorruptRecord", "corrupt")
         return reader.option("mode", "PERMISSIVE").json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
     return reader.option("mode", {"skip": "DROPMALFORMED", "strict": "FAILFAST"}[mode]).json(path)
 
@@ -30,6 +34,52 @@ def numbered_lines(spark: SparkSession, path: str | list[str], suffix: str = "*"
     return rows.where(F.regexp_replace("value", "\\s", "") != "")
 
 
+def merged_lines(spark: SparkSession, path: str | list[str], suffix: str = JSON) -> DataFrame:
+    """The non-blank lines of a folder's files in order of file name and line, range-sorted."""
+    return numbered_lines(spark, path, suffix).orderBy("file_name", "block", "at").select("file_name", "value")
+
+
+def subfolders(spark: SparkSession, path: str, skip: str | None = "err") -> list[str]:
+    """Names of the folders right below a path in order, by one listing; those with ``skip`` in their name don't count."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    return [n for n in names if not (skip and skip in n)]
+
+
+#: fixed values: subjects whose books may lie in folders by category, and these
+BY_CATEGORY, CATEGORIES = ("语文", "英语"), ("辅学类", "刷题类")
+
+
+def books(folders: DataFrame, path: str = "path") -> DataFrame:
+    """Distinct ``subject, category, book`` of relative paths ``subject[/category]/book/...``.
+
+    Where one of the named subjects has a category folder, only books in such folders count.
+    """
+    from lapidary.functions.paths import segments
+
+    s = segments(path)
+    rows = folders.select(*(F.try_element_at(s, F.lit(i)).alias(f"_{i}") for i in (1, 2, 3))).distinct()
+    named = F.lit(False)
+    for k in BY_CATEGORY:
+        named = named | F.col("_1").contains(k)
+    sorted_ = named & F.col("_2").isin(*CATEGORIES)
+    with_category = rows.where(sorted_).select("_1").distinct().withColumn("_has", F.lit(True))
+    rows = rows.join(with_category, "_1", "left").withColumn("_in", sorted_)
+    rows = rows.where(F.col("_has").isNull() | F.col("_in"))
+    category = F.when(F.col("_in"), F.col("_2"))
+    return rows.select(F.col("_1").alias("subject"), category.alias("category"), F.when(F.col("_in"), F.col("_3")).otherwise(F.col("_2")).alias("book")).where("book is not null").distinct()
+
+
+def books_without(paths: DataFrame, marker: str = "试题包", path: str = "path") -> DataFrame:
+    """Books, the first segments of relative paths, none of whose paths has the marker folder right below."""
+    from lapidary.functions.paths import segments
+
+    s = segments(path)
+    found = paths.groupBy(F.try_element_at(s, F.lit(1)).alias("book")).agg(F.max(F.coalesce(F.try_element_at(s, F.lit(2)) == marker, F.lit(False))).alias("there"))
+    return found.where("not there").select("book")
+
+
 def without_errors(rows: DataFrame, marker: str = "err") -> DataFrame:
     """Rows whose file's name neither starts with the marker nor has it as a part between separators."""
     return rows.where(~F.col("file_name").rlike(f"(^|[-_.]){marker}([-_.]|$)"))
@@ -46,10 +96,10 @@ def image_inventory(spark: SparkSession, path: str, extensions: tuple[str, ...]
     return files.where(F.col("path").contains(f"/{under}/")) if under else files
 
 
-def name_map(inventory: DataFrame) -> DataFrame:
-    """Lower-case file names with the last path of each."""
+def name_map(inventory: DataFrame, order: str = "path") -> DataFrame:
+    """Lower-case file names with the last path of each, in order of a column that says how they were seen."""
     name = F.lower(F.substring_index("path", "/", -1))
-    return inventory.groupBy(name.alias("name")).agg(F.max("path").alias("path"))
+    return inventory.groupBy(name.alias("name")).agg(F.max_by("path", F.struct(order, "path")).alias("path"))
 
 
 def yaml_config(path: str) -> dict:

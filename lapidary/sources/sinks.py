@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +55,63 @@ def tree_plan(paths: DataFrame, column: str, folder: str, middle: str = "试题
 def pending(plan: DataFrame, there: DataFrame) -> DataFrame:
     """The part of a manifest whose targets don't exist yet."""
     return plan.join(there.select(F.col("path").alias("dst")), "dst", "left_anti")
+
+
+def run_copies(plan: DataFrame) -> DataFrame:
+    """Carry out a manifest ``src, dst`` where the tasks run: ``src, dst, status`` (``copied``, ``there``, ``failed``), ``error``.
+
+    Paths lie in a folder that all machines share. A file goes to its place under another name and is
+    then renamed, so that a task that runs twice leaves whole files; targets that exist stay.
+    """
+
+    def copy(frames):
+        for frame in frames:
+            rows = []
+            for src, dst in zip(frame["src"], frame["dst"], strict=True):
+                try:
+                    if os.path.exists(dst):
+                        rows.append((src, dst, "there", None))
+                        continue
+                    os.makedirs(os.path.dirname(dst) or ".", exist_ok=True)
+                    half = f"{dst}.{os.getpid()}.part"
+                    shutil.copyfile(src, half)
+                    os.replace(half, dst)
+                    rows.append((src, dst, "copied", None))
+                except OSError as e:
+                    rows.append((src, dst, "failed", str(e)))
+            yield pd.DataFrame(rows, columns=["src", "dst", "status", "error"])
+
+    return plan.select("src", "dst").mapInPandas(copy, "src string, dst string, status string, error string")
+
+
+def copy_tally(done: DataFrame) -> DataFrame:
+    return done.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def zip_folder(folder: str, target: str, compress: bool = True) -> int:
+    """A folder's files in one archive, on the driver; gives their number."""
+    n = 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED, compresslevel=6 if compress else None) as out:
+        for at, _, names in sorted(os.walk(folder)):
+            for name in sorted(names):
+                out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), folder))
+                n += 1
+    return n
+
+
+def by_source(rows: DataFrame, path: str, column: str = "source_type") -> None:
+    """Export lines (``value``) in a folder for each source type, unknown ones under that name."""
+    with_source(rows, column).select(column, "value").write.mode("overwrite").partitionBy(column).text(path)
+
+
+def line_count(lines: DataFrame, path: str) -> None:
+    """The number of lines as a one-line text."""
+    lines.agg(F.count("*").cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def reconciliation_log(stats: DataFrame, missing: DataFrame, unreferenced: DataFrame, column: str, path: str) -> None:
+    """A text folder of a reconciliation: a line for each number of ``stats``, then both lists in order."""
+    numbers = stats.select(F.posexplode(F.array(*(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in stats.columns))).alias("nth", "value"))
+    lists = [d.select(F.lit(0).alias("nth"), F.concat(F.lit(f"{name}: "), F.col(column)).alias("value")) for name, d in (("missing", missing), ("unreferenced", unreferenced))]
+    parts = [d.withColumn("part", F.lit(i)) for i, d in enumerate([numbers, *lists])]
+    parts[0].union(parts[1]).union(parts[2]).orderBy("part", "nth", "value").select("value").write.mode("overwrite").text(path)
