@@ -61,7 +61,7 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    small_batches(spark, 4000)
+    small_batches(spark)
     rows = whole_vectors(vectors)
     # of equal vectors only the k + 1 smallest ids can be among the best k of a query or the query itself
     rows = scratch.keep(rows.withColumn("key", F.hash("v")), "vectors")

@@ -11,18 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Writes a DataFrame as Parquet under the shared folder and reads it back.
 
-    A written table cuts the lineage and survives the loss of any executor. Only where
-    ``spark.checkpoint.dir`` is unset, as in a local test, a temporary folder stands in.
+    A written table cuts the lineage and survives the loss of any executor. What is left goes when
+    the application ends. Where ``spark.checkpoint.dir`` is unset, a local session takes a temporary
+    folder, and a cluster's is refused.
     """
 
     def __init__(self, spark: SparkSession):
         conf = spark.sparkContext.getConf()
         base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
             base = tempfile.mkdtemp(prefix="lapidary-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/lapidary-{uuid.uuid4().hex}"
+        system, root = self._at(self.root)
+        system.mkdirs(root)
+        system.deleteOnExit(root)
+
+    def _at(self, path: str):
+        """A path and its file system on the JVM's side."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -33,14 +44,17 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete written tables that no later read needs."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            system, target = self._at(self.path(name))
+            system.delete(target, True)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound what one Arrow batch holds, in bytes and alike for all operators, unless the session has a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not _is_set(spark, key):
+        spark.conf.set(key, size)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch holds, where the session has Spark's own default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
+def _is_set(spark: SparkSession, key: str) -> bool:
+    return spark._jsparkSession.sessionState().conf().contains(key)

@@ -130,7 +130,7 @@ def read_records(spark, path: str, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    small_batches(spark, 4)
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(parse, RECORD + (", payload binary" if with_payload else ""))
 
