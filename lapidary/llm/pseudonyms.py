@@ -1,10 +1,10 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation.
 
 A value that its own rules confirm (Luhn for cards, mod 97 for IBANs, octets for addresses,
-the calendar for dates) is read as a number within the set of values of its format, permuted
+the calendar for dates, issued ranges for SSNs, lengths for phones) is read as a number within the set of values of its format, permuted
 within that set by a Feistel network with cycle walking, and written in the same format, its
-check digits made anew. Equal values get equal pseudonyms in every document, and whoever holds
-the key can invert them. Text around them stays as it is.
+check digits made anew. Equal values get equal pseudonyms in every document, a date in whatever
+order it is written, and whoever holds the key can invert them. Text around them stays as it is.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import datetime
 import functools
 import hashlib
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,12 +26,12 @@ from lapidary.llm.scratch import small_batches
 KINDS = ("email", "secret", "iban", "card", "address", "date", "phone", "ssn")
 _PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-]))
-    |(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=["'])[0-9A-Fa-f]{32,128}(?=["']))
+    |(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:[sr]k_(?:live|test)_|gh[opsur]_|glpat-|xox[abpr]-)[A-Za-z0-9_-]{12,}[A-Za-z0-9](?![A-Za-z0-9_-])|(?<=["'])[0-9A-Fa-f]{32,128}(?=["']))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<card>(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
     |(?P<address>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))
     |(?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9]))
-    |(?P<phone>(?<![0-9A-Za-z+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{9,15}(?![0-9A-Za-z]))
+    |(?P<phone>(?<![0-9A-Za-z+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{9,15}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.(])\([0-9]{2,5}\)[ -]?[0-9]{4,9}(?![0-9A-Za-z]))
     |(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))""",
     re.VERBOSE,
 )
@@ -92,6 +93,25 @@ def _iban_check(country: str, account: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
 
 
+#: fixed values: what common access tokens start with
+_SECRET_PREFIX = re.compile("[sr]k_(?:live|test)_|gh[opsur]_|glpat-|xox[abpr]-")
+
+
+def _case(text: str) -> str:
+    return "lower" if text.lower() == text else "upper" if text.upper() == text else "mixed"
+
+
+def _is_phone(text: str) -> bool:
+    """6 to 15 digits, as numbering plans have, and not one digit alone."""
+    digits = [c for c in text if c.isdigit()]
+    return 6 <= len(digits) <= 15 and len(set(digits)) > 1
+
+
+def _is_ssn(text: str) -> bool:
+    """Area not 000, 666 or from 900, neither group nor serial of zeros only."""
+    return text[:3] not in ("000", "666") and text[0] != "9" and text[4:6] != "00" and text[7:] != "0000"
+
+
 def _alphabet(c: str) -> str | None:
     return next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), None)
 
@@ -141,10 +161,12 @@ class Pseudonyms:
         if kind == "secret":
             if text.startswith("AKIA"):
                 return "AKIA" + self._spell(text[4:], "akia", [_UPPER + _DIGITS] * 16)
-            if text.lower() == text or text.upper() == text:
-                letters = "0123456789abcdef" if text.lower() == text else "0123456789ABCDEF"
-                return self._spell(text, "hex", [letters] * len(text))
-            return self._spell(text.lower(), "mixed", ["0123456789abcdef"] * len(text))
+            if (prefix := _SECRET_PREFIX.match(text)) is not None:
+                rest = text[prefix.end() :]
+                return prefix[0] + self._spell(rest, "token", [_alphabet(c) for c in rest])
+            case = _case(text)
+            letters = _DIGITS + {"lower": "abcdef", "upper": "ABCDEF", "mixed": "abcdefABCDEF"}[case]
+            return self._walk(text, lambda t: self._spell(t, case, [letters] * len(t)), lambda t: _case(t) == case)
         if kind == "iban":
             if not 15 <= len(plain) <= 34 or _iban_check(plain[:2], plain[4:]) != int(plain[2:4]):
                 return None
@@ -177,16 +199,26 @@ class Pseudonyms:
             year = 1801 + (day.year - 1801) // 400 * 400
             first = datetime.date(max(1, year), 1, 1).toordinal()
             n = datetime.date(min(9999, year + 399), 12, 31).toordinal() - first + 1
-            new = day
-            while True:
-                new = datetime.date.fromordinal(first + self.feistel.permute(new.toordinal() - first, n, f"date:{year}".encode(), self.backwards))
-                if form != "%m/%d/%Y" or new.day > 12:  # else it would read as day and month
-                    break
+            permute = lambda d: datetime.date.fromordinal(first + self.feistel.permute(d.toordinal() - first, n, f"date:{year}".encode(), self.backwards))
+            # days after the 12th stay such, since only they tell month and day apart in every order
+            new = self._walk(day, permute, lambda d: (d.day > 12) == (day.day > 12))
             return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
         if kind == "phone":
+            if not _is_phone(text):
+                return None
             code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)
-            return self._digits(text, "phone", len(code[0]) - 1 if code else 0)
-        return self._digits(text, kind)
+            return self._walk(text, lambda t: self._digits(t, "phone", len(code[0]) - 1 if code else 0), _is_phone)
+        if not _is_ssn(text):
+            return None
+        return self._walk(text, lambda t: self._digits(t, kind), _is_ssn)
+
+    @staticmethod
+    def _walk(value, permute, confirmed):
+        """Permute until the value is again one that its rules confirm: a permutation of those."""
+        value = permute(value)
+        while not confirmed(value):
+            value = permute(value)
+        return value
 
     def _usual_card(self, text: str, at: int) -> tuple[int, str] | None:
         """End and pseudonym of the card in a usual form that starts there."""
@@ -251,6 +283,14 @@ class Pseudonyms:
         return "".join(out), counts
 
 
+def session_key(spark) -> bytes:
+    """The key that the session names in ``spark.lapidary.pseudonymKey``; without it an example key, with a warning."""
+    key = spark.conf.get("spark.lapidary.pseudonymKey", None)
+    if not key:
+        warnings.warn("spark.lapidary.pseudonymKey is not set: pseudonyms are made with a public example key", stacklevel=2)
+    return (key or "lapidary-example-key").encode()
+
+
 def _pseudonyms(key: bytes, backwards: bool) -> Pseudonyms:
     return resident(("pseudonyms", key, backwards), lambda: Pseudonyms(key, backwards))
 

@@ -69,3 +69,38 @@ def test_linked_across_documents_and_edges(spark):
     assert len(got) == 6 and text[1] == f"x {text[2]} y" and text[2] != "10.1.2.3" and text[3] is None and text[4] == ""
     assert sorted(r.text or "" for r in pseudonymise(pseudonymise(frame, KEY).select(frame.columns), KEY, backwards=True).collect()) == sorted(t or "" for _, t in rows)
     assert pseudonymise(frame.limit(0), KEY).collect() == []
+
+
+@pytest.mark.parametrize("kind, make", [
+    ("secret", lambda r: "".join(r.choice("0123456789abcdefABCDEF") for _ in range(32))),
+    ("secret", lambda r: "".join(r.choice("0123456789ABCDEF") for _ in range(40))),
+    ("secret", lambda r: "ghp_" + "".join(r.choice("aB3") for _ in range(36))),
+    ("date", lambda r: f"{r.randrange(1, 29):02d}/{r.randrange(1, 13):02d}/{r.randrange(1900, 2030)}"),
+    ("date", lambda r: f"{r.randrange(1, 13):02d}/{r.randrange(13, 29):02d}/{r.randrange(1900, 2030)}"),
+    ("ssn", lambda r: f"{r.randrange(1, 666):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}"),
+    ("phone", lambda r: f"(0{r.randrange(10, 100)}) {r.randrange(10**6, 10**7)}"),
+])
+def test_formats_are_permuted_one_to_one(kind, make):
+    rng = random.Random(4)
+    there, back = Pseudonyms(KEY), Pseudonyms(KEY, backwards=True)
+    values = {make(rng) for _ in range(300)}
+    new = {v: there.value(kind, v) for v in values}
+    assert len(set(new.values())) == len(values) and all(back.value(kind, n) == v for v, n in new.items())
+    # found as the same kind again, so that the text can be restored
+    for v, n in new.items():
+        quoted = f'see "{n}" there'
+        assert there.replace(f'see "{v}" there')[0] == quoted and back.replace(quoted)[0] == f'see "{v}" there'
+
+
+def test_a_date_has_one_pseudonym_in_every_order():
+    p = Pseudonyms(KEY)
+    iso, german, slash = (p.value("date", t) for t in ("2020-12-25", "25.12.2020", "12/25/2020"))
+    y, m, d = iso.split("-")
+    assert german == f"{d}.{m}.{y}" and slash == f"{m}/{d}/{y}" and int(d) > 12
+
+
+def test_what_was_never_issued_stays():
+    p = Pseudonyms(KEY)
+    for text in ("000-00-0000", "666-12-1234", "900-12-1234", "123-00-1234", "000-000-0000"):
+        assert p.replace(text)[0] == text
+    assert p.replace("sk_live_abcdefGH12345678")[1][KINDS.index("secret")] == 1
