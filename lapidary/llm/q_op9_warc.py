@@ -7,9 +7,10 @@ from lapidary.llm.warc import archive_and_assemble
 
 def query(spark, sf_dir):
     captures = archive_and_assemble(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0, with_payload=False)
+    # a response's size and digest are of the payload that was read; a revisit has none, and its records tell
     return captures.select(
         "page_id",
-        F.col("metadata.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
         F.col("response.refers_to").alias("refers_to"),

@@ -4,11 +4,11 @@ Writing uses DataFrame functions only. Each page is a transaction of three recor
 request and a metadata record tie together by naming the response in WARC-Concurrent-To. Of
 equal payloads (at least ``min_bytes`` long) that with the largest page id is written in full
 and the others are revisit records without payload. Spark's text writer puts the records into
-gzip archives of a bounded number of transactions in the shared folder; its line separator is
-the end of a WARC record.
+gzip archives in the shared folder, of a number of transactions that their sizes bound; its line
+separator is the end of a WARC record.
 
-Reading takes whole archives as rows, parses their records by Content-Length, joins them by
-the identifier that they are concurrent to, and gives one nested row a capture.
+Reading takes whole archives as rows, parses their records by Content-Length, holds payloads
+against their digests (one that differs stops the reading), joins records by the identifier that they are concurrent to, and gives one nested row a capture.
 """
 
 from __future__ import annotations
@@ -107,11 +107,18 @@ def write_archives(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:0
     writer.option("maxRecordsPerFile", transactions_per_file).text(path)
 
 
+#: payloads up to so many bytes go to archives of so many transactions; larger ones have one each
+SIZE_CLASSES = ((1 << 16, 2000), (1 << 21, 64), (None, 1))
+
 RECORD = "record_id string, concurrent_to string, kind string, uri string, date string, payload_digest string, refers_to long, page_id long, payload_bytes long, intact boolean"
 
 
-def read_records(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives under ``path``; ``intact`` says that a payload has its digest."""
+def read_records(spark, path: str | list[str], with_payload: bool = True, strict: bool = True) -> DataFrame:
+    """The records of all archives under ``path``.
+
+    A response's length and digest are those of the payload that was read; ``intact`` says that
+    this is the digest its header names. With ``strict`` another is an error.
+    """
     fields = [(f.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in RECORD.split(", ")] + [("payload", pa.binary())]
     schema = pa.schema(fields if with_payload else fields[:-1])
 
@@ -120,6 +127,8 @@ def read_records(spark, path: str, with_payload: bool = True) -> DataFrame:
             for content in batch.column(0):
                 rows, held = [], 0
                 for record in _records(content.as_buffer()):
+                    if strict and record["intact"] is False:
+                        raise ValueError(f"the payload of {record['record_id']} hasn't the digest that its record names")
                     if not with_payload:
                         record.pop("payload")
                     rows.append(record)
@@ -174,7 +183,8 @@ def _records(buffer):
         kind = headers["warc-type"]
         facts = dict(x.split(": ", 1) for x in block.decode("utf-8").split("\r\n") if x) if kind == "metadata" else {}
         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        named = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        digest = named if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
         yield {
             "record_id": headers["warc-record-id"],
             "concurrent_to": headers.get("warc-concurrent-to"),
@@ -185,7 +195,7 @@ def _records(buffer):
             "refers_to": int(headers["warc-refers-to-page"]) if "warc-refers-to-page" in headers else None,
             "page_id": int(facts["page-id"]) if "page-id" in facts else None,
             "payload_bytes": len(payload) if payload is not None else int(facts["payload-bytes"]) if "payload-bytes" in facts else None,
-            "intact": base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest if payload is not None else None,
+            "intact": None if payload is None else digest == named,
             "payload": payload,
         }
 
@@ -205,8 +215,17 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_and_assemble(pages: DataFrame, min_bytes: int = 0, with_payload: bool = True) -> DataFrame:
-    """Write all ``pages`` to archives in the shared folder, read these back and assemble captures."""
+    """Write all ``pages`` to archives in the shared folder, read these back and assemble captures.
+
+    Equal payloads have equal sizes, so each class of sizes is marked and written by itself. Null
+    html is empty; repeated rows are transactions of their own; further columns of ``pages``,
+    whatever their names, don't come back; an empty table gives no capture.
+    """
     scratch = Scratch(pages.sparkSession)
-    path = scratch.path("archives")
-    write_archives(mark_revisits(pages, min_bytes), path)
-    return assemble(read_records(pages.sparkSession, path, with_payload))
+    size, above, paths = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))), -1, []
+    for upto, transactions in SIZE_CLASSES:
+        own = pages.where((size > above) & (size <= upto) if upto else size > above)
+        paths.append(scratch.path(f"archives-{transactions}"))
+        write_archives(mark_revisits(own, min_bytes), paths[-1], transactions_per_file=transactions)
+        above = upto
+    return assemble(read_records(pages.sparkSession, paths, with_payload))
