@@ -2,10 +2,10 @@
 
 Only the histogram (at most ``capacity`` lengths) reaches the driver. There the program
 "fewest sequences such that every length is covered" is solved by multiplicative weights:
-each round prices the lengths, an unbounded-knapsack dynamic program finds the pattern of
-greatest price, and the lengths which that pattern covers get cheaper. The fractional
-solution is rounded down, and what is left is packed best fit, longest first, again on
-counts alone. The plan says how many sequences each pattern has; a piece finds its place by
+each round prices the lengths, a knapsack dynamic program finds the pattern of greatest price,
+and the lengths which that pattern covers get cheaper. The fractional solution is rounded, the
+program is solved again for what is left, and the few pieces that remain are packed best fit
+into the room left over, all on counts alone. The plan says how many sequences each pattern has; a piece finds its place by
 its rank among the pieces of its length, with arithmetic only.
 """
 
@@ -57,61 +57,166 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def _best_pattern(lengths: np.ndarray, price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of greatest price that fits: an unbounded knapsack."""
+def _best_pattern(sizes: np.ndarray, most: np.ndarray, price: np.ndarray, capacity: int, items: int = 160) -> dict[int, int]:
+    """The multiset of greatest price that fits, as copies by index: a bounded knapsack by dynamic programming.
+
+    No size is taken more often than ``most`` says. Only the ``items`` of greatest price for their
+    size are considered, of equal ones the larger, a third of them short so that sequences become
+    full: an approximate oracle, as multiplicative weights allow.
+    """
+    ranked = np.lexsort((-sizes, -price / sizes))
+    short = ranked[sizes[ranked] <= capacity // 8]
+    considered = np.union1d(ranked[: items - items // 3], short[: items // 3])
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - lengths[:k]] + price[:k]
-            j = int(value.argmax())
-            if value[j] > best[c]:
-                best[c], pick[c] = value[j], j
+    steps = []
+    for i in considered[np.argsort(-sizes[considered], kind="stable")].tolist():
+        size, worth, part, left = int(sizes[i]), float(price[i]), 1, int(min(most[i], capacity // sizes[i]))
+        while left > 0:  # copies in doubling bundles
+            part = min(part, left)
+            with_it = best[: capacity + 1 - size * part] + worth * part
+            better = with_it > best[size * part :]
+            np.copyto(best[size * part :], with_it, where=better)
+            steps.append((i, part, size * part, better))
+            left -= part
+            part *= 2
     pattern: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            pattern[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
+    room = capacity
+    for i, part, size, better in reversed(steps):
+        if room >= size and better[room - size]:
+            pattern[i] += part
+            room -= size
     return dict(pattern)
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 4.0) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length to how often) with the number of sequences of each; all pieces have a place."""
+def _fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> dict[tuple, float]:
+    """How many sequences of each pattern cover all demand: multiplicative weights over the sizes.
+
+    A size's weight falls as patterns cover it; the price of a piece is its share of the weight.
+    """
+    weight = sizes * demand.astype(float)
+    used: dict[tuple, float] = defaultdict(float)
+    share = float((sizes * demand).sum() / capacity / rounds)
+    for _ in range(rounds):
+        pattern = _best_pattern(sizes, demand, weight / demand, capacity)
+        rows = np.array(list(pattern))
+        covered = np.array(list(pattern.values())) / demand[rows]  # by one sequence
+        step = min(share, float(1 / covered.max()))
+        used[tuple(sorted(pattern.items()))] += step
+        weight[rows] *= np.exp(-rate * covered * step)
+    return used
+
+
+def _size_classes(lengths: list[int], capacity: int, fine: int) -> dict[int, int]:
+    """Each length's class, named by its longest: lengths up to ``fine`` alone, longer ones within a ``fine``-th."""
+    tops = list(range(1, min(fine, capacity) + 1))
+    while tops[-1] < capacity:
+        tops.append(min(capacity, max(tops[-1] + 1, tops[-1] * (fine + 1) // fine)))
+    at = np.searchsorted(np.array(tops), lengths)
+    longest: dict[int, int] = {}
+    for k, c in zip(lengths, at.tolist(), strict=True):
+        longest[c] = max(longest.get(c, 0), k)
+    return {k: longest[c] for k, c in zip(lengths, at.tolist(), strict=True)}
+
+
+def _spelled_out(plan: list[tuple[dict[int, int], int]], counts: dict[int, int], classes: dict[int, int]) -> list[tuple[dict[int, int], int]]:
+    """Patterns of classes as patterns of lengths: a class gives its lengths out from the longest on; ``counts`` falls."""
+    stock: dict[int, list[int]] = defaultdict(list)
+    for k in sorted(counts):
+        stock[classes[k]].append(k)
+    out = []
+    for pattern, n in plan:
+        runs = []  # for each member, where in the n sequences a length starts
+        for size, times in pattern.items():
+            for _ in range(times):
+                at = 0
+                while at < n:
+                    length = stock[size][-1]
+                    take = min(n - at, counts[length])
+                    if take:
+                        runs.append((at, at + take, length))
+                        counts[length] -= take
+                        at += take
+                    if not counts[length]:
+                        stock[size].pop()
+        cuts = sorted({a for a, _, _ in runs} | {n})
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own: dict[int, int] = defaultdict(int)
+            for a, b, length in runs:
+                if a <= lo < b:
+                    own[length] += 1
+            out.append((dict(own), hi - lo))
+    return out
+
+
+def plan_patterns(histogram: dict[int, int], capacity: int, rounds: int = 100, rate: float = 4.0, phases: int = 8, fine: int = 512, least_full: float = 0.97, most_share: float = 0.95, most_opened: int = 4) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Patterns (length to how often) with the number of sequences of each, and how many pieces the program placed.
+
+    The program works on classes of lengths, counted as their longest. Each phase solves it for
+    what is left and rounds: patterns in order of their share go in as often as rounded, once at
+    least, while their pieces last, if they fill ``least_full``, and up to ``most_share`` of the
+    sequences that the volume needs. What no phase places goes best fit, longest first, into the
+    room that the patterns left and then into new sequences. While that needs more sequences than
+    best fit alone, one more of each pattern's shortest pieces is taken out and placed best fit too,
+    up to ``most_opened``; then best fit alone is the plan, with no piece placed by the program.
+    """
     left = {k: v for k, v in histogram.items() if v > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    if left:
-        lengths = np.array(sorted(left))
-        demand = np.array([left[k] for k in lengths], float)
-        weight = lengths * demand  # of the constraint "length covered"; the price of a piece is its share
-        used: dict[tuple, float] = defaultdict(float)
-        share = float((lengths * demand).sum() / capacity / rounds)
-        at = {int(k): i for i, k in enumerate(lengths)}
-        for _ in range(rounds):
-            pattern = _best_pattern(lengths, weight / demand, capacity)
-            rows = np.array([at[k] for k in pattern])
-            covered = np.array(list(pattern.values())) / demand[rows]  # by one sequence
-            step = min(share, float(1 / covered.max()))
-            used[tuple(sorted(pattern.items()))] += step
-            weight[rows] *= np.exp(-rate * covered * step)
-        for pattern, x in sorted(used.items(), key=lambda p: -p[1]):
-            n = min([int(x), *(left.get(k, 0) // m for k, m in pattern)])
-            if n > 0:
-                plan.append((dict(pattern), n))
-                for k, m in pattern:
-                    left[k] -= n * m
-    return plan + _best_fit(left, capacity)
-
-
-def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, of counted lengths into counted groups of alike sequences."""
+    if not left:
+        return [], 0
+    classes = _size_classes(sorted(left), capacity, fine)
+    open_: dict[int, int] = defaultdict(int)
+    for k, v in left.items():
+        open_[classes[k]] += v
+    chosen: list[tuple[dict[int, int], int]] = []
+    budget = int(most_share * sum(k * v for k, v in left.items()) / capacity)
+    for _ in range(phases):
+        sizes = np.array(sorted(k for k, v in open_.items() if v > 0))
+        if not len(sizes) or budget <= 0:
+            break
+        before = len(chosen)
+        shares = _fractional(sizes, np.array([open_[int(k)] for k in sizes]), capacity, rounds, rate)
+        for pattern, x in sorted(shares.items(), key=lambda p: (-p[1], p[0])):
+            own = {int(sizes[i]): m for i, m in pattern}
+            n = min([max(1, round(x)), budget, *(open_[k] // m for k, m in own.items())])
+            if n > 0 and sum(k * m for k, m in own.items()) >= least_full * capacity:
+                chosen.append((own, n))
+                budget -= n
+                for k, m in own.items():
+                    open_[k] -= n * m
+        if len(chosen) == before:
+            break
+    spelled = _spelled_out(chosen, dict(left), classes)
+    alone = _best_fit_into([], left, capacity)
+    for opened in range(most_opened + 1):
+        begun = [(_without_shortest(p, opened), n) for p, n in spelled]
+        rest = dict(left)
+        for pattern, n in begun:
+            for k, m in pattern.items():
+                rest[k] -= n * m
+        plan = _best_fit_into(begun, rest, capacity)
+        if sum(n for _, n in plan) <= sum(n for _, n in alone):
+            return plan, sum(n * sum(p.values()) for p, n in begun)
+    return alone, 0
+
+
+def _without_shortest(pattern: dict[int, int], n: int) -> dict[int, int]:
+    """A pattern of several pieces without its ``n`` shortest; one piece stays."""
+    out = dict(pattern)
+    for _ in range(min(n, sum(pattern.values()) - 1)):
+        k = min(out)
+        out[k] -= 1
+        if not out[k]:
+            del out[k]
+    return out
+
+
+def _best_fit_into(begun: list[tuple[dict[int, int], int]], counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, of counted lengths into counted groups of alike sequences, begun ones among them."""
     room: dict[int, list] = defaultdict(list)  # free tokens to [pattern, sequences]
     open_rooms = np.zeros(capacity + 1, bool)
+    for pattern, n in begun:
+        free = capacity - sum(k * m for k, m in pattern.items())
+        room[free].append([pattern, n])
+        open_rooms[free] = free > 0
     for length in sorted((k for k, v in counts.items() if v > 0), reverse=True):
         n = counts[length]
         while n:
@@ -161,14 +266,14 @@ def place_table(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.nd
     return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 300, salt_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 100, salt_rows: int = 20_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows that have ``doc_id, piece, length``.
 
     ``pieces`` must be stored, since it is read three times. Ranks within a length are taken
     within salted parts of it, so that a length which most pieces share is still spread.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = place_table(plan_patterns(histogram, capacity, rounds))
+    table = place_table(plan_patterns(histogram, capacity, rounds)[0])
     salts = int(min(1 << 20, max(64, sum(histogram.values()) // salt_rows)))
     rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -197,7 +302,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 300, salt_rows:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, rounds: int = 300, with_ids: bool = False
+    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, rounds: int = 100, with_ids: bool = False
 ) -> DataFrame:
     """Tokenise ``doc_id, text`` rows, cut the longer ones and pack the pieces.
 

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lapidary.llm.packing import _best_fit, pack_documents, place_table, plan_patterns
+from lapidary.llm.packing import _best_fit_into, _best_pattern, pack_documents, place_table, plan_patterns
 from lapidary.llm.tokens import vocabulary_path
 from tests.llm.helpers import docs_frame
 
@@ -38,13 +38,32 @@ def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
     capacity = 64
     histogram = {int(k): int(rng.integers(1, 400)) for k in rng.choice(np.arange(1, capacity + 1), rng.integers(1, 40), replace=False)}
-    plan = plan_patterns(histogram, capacity)
+    plan, by_program = plan_patterns(histogram, capacity)
     placed = {k: 0 for k in histogram}
     for pattern, n in plan:
         assert sum(k * m for k, m in pattern.items()) <= capacity
         for k, m in pattern.items():
             placed[k] += n * m
     assert placed == histogram
-    plain = sum(n for _, n in _best_fit(dict(histogram), capacity))
-    assert sum(n for _, n in plan) <= 1.03 * plain + 2
+    alone = sum(n for _, n in _best_fit_into([], dict(histogram), capacity))
+    assert -(-sum(k * v for k, v in histogram.items()) // capacity) <= sum(n for _, n in plan) <= alone
+    assert 0 <= by_program <= sum(histogram.values())
     assert set(place_table(plan)) == set(histogram)
+
+
+def test_program_packs_what_best_fit_wastes():
+    # longest first puts 6 beside 4 and strands the rest; three patterns of the program fill every sequence
+    histogram = {6: 20, 5: 20, 4: 60, 3: 40, 2: 20}
+    plan, placed = plan_patterns(histogram, 13)
+    assert sum(n for _, n in plan) <= sum(n for _, n in _best_fit_into([], dict(histogram), 13)) and placed > sum(histogram.values()) // 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_knapsack_agrees_with_all_multisets(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.array(sorted(rng.choice(np.arange(1, 12), 5, replace=False)))
+    most, price, capacity = rng.integers(1, 4, 5), rng.random(5) * sizes, 17
+    best = max(sum(m * p for m, p in zip(own, price)) for own in np.ndindex(*(most + 1)) if sum(m * s for m, s in zip(own, sizes)) <= capacity)
+    got = _best_pattern(sizes, most, price, capacity, items=15)
+    assert sum(m * price[i] for i, m in got.items()) == pytest.approx(best) and all(m <= most[i] for i, m in got.items())
+    assert sum(m * sizes[i] for i, m in got.items()) <= capacity
