@@ -1,9 +1,9 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Only DataFrame functions. Each source's documents fall by a keyed hash into blocks, which a
-second hash permutes. A source's target says how many whole passes over its blocks the mix
-takes and how many words of one more pass; only the block in which that pass ends looks at
-its documents one by one. The exact numbers of block draws by source are then split among the
+second hash permutes; there are as many blocks as keep one small. A source's target says how
+many whole passes over its blocks the mix takes and how many words of one more pass; only the
+block in which that pass ends looks at its documents one by one. The exact numbers of block draws by source are then split among the
 output shards by a binary tree: at each node the left half's share of every source is drawn
 from the multivariate hypergeometric distribution, one source after another, by inversion. A
 shard takes the next blocks of each source's permutation, so shards are disjoint, and orders
@@ -15,6 +15,8 @@ more than a source's blocks, the sources, or the documents of one block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
 def _hash_int(text: Column, modulus: int) -> Column:
-    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % modulus).cast("int")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % modulus
 
 
 def source_targets(sources: DataFrame, most: int = 3) -> DataFrame:
@@ -103,15 +105,26 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return rows
 
 
-def mix_sources(docs: DataFrame, levels: int = 4, blocks: int = 1024, most: int = 3, seed: int = 5, carry: bool = True) -> DataFrame:
+def block_count(rows: int, least: int = 1024, block_rows: int = 2000) -> int:
+    """Blocks of a source: a power of two such that one of all rows has about ``block_rows``, but not fewer than ``least``."""
+    return max(least, 1 << max(0, math.ceil(math.log2(max(1, rows / block_rows)))))
+
+
+def shard_levels(rows: int, shard_rows: int = 50_000, least: int = 4, most: int = 10) -> int:
+    """Levels of the splitting tree: shards of about ``shard_rows`` documents, at least 16 and at most 1024."""
+    return min(most, max(least, math.ceil(math.log2(max(1, rows / shard_rows)))))
+
+
+def mix_sources(docs: DataFrame, levels: int | None = None, blocks: int | None = None, most: int = 3, seed: int = 5, carry: bool = True, small_plan: int = 100_000) -> DataFrame:
     """One row for each of ``docs``: ``row`` (all its columns; only with ``carry``), ``doc_id, size,
-    source_size, target, taken`` and ``placements``, an array of (pass, shard, position key).
+    source_size, target, taken, passes, last`` and ``placements``, an array of (pass, shard, position key).
 
     The size is the number of words ``[^\\x20\\x09-\\x0D]+``, 0 for a null text. ``taken`` counts
     the words that the mix takes, repeats included; where a source's last pass ends inside a
     document, its first words count. The words taken of a source are its target, rounded.
     Documents of one hash tie by id and size; repeated rows are documents of their own. A source
-    without words has target 0. An empty table gives no row.
+    without words has target 0. An empty table gives no row. The plan, a row for each source and
+    block, is broadcast while it has at most ``small_plan`` rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -123,9 +136,12 @@ def mix_sources(docs: DataFrame, levels: int = 4, blocks: int = 1024, most: int
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
         F.md5(key).alias("perm"),
-        _hash_int(F.concat(F.lit("block:"), key), blocks).alias("block"),
+        _hash_int(F.concat(F.lit("block:"), key), 1 << 32).alias("block_hash"),
     )
     rows = scratch.keep(rows, "rows")
+    count = rows.count()
+    blocks, levels = blocks or block_count(count), shard_levels(count) if levels is None else levels
+    rows = rows.withColumn("block", (F.col("block_hash") % blocks).cast("int")).drop("block_hash")
     by_source = ["no_source", "src"]
     blocked = rows.groupBy(*by_source, "block").agg(F.sum("size").alias("words"))
     sources = blocked.groupBy(*by_source).agg(F.sum("words").alias("source_size"), F.count("*").alias("n_blocks"))
@@ -146,21 +162,28 @@ def mix_sources(docs: DataFrame, levels: int = 4, blocks: int = 1024, most: int
     until = F.sum("q").over(Window.partitionBy("at").orderBy("shard"))
     until = shares.select("at", "shard", until.alias("until")).groupBy("at").agg(F.array_sort(F.collect_list("until")).alias("until"))
     places = listed.select(F.posexplode("all").alias("at", "s")).join(until, "at").select("s.no_source", "s.src", "until")
-    plan = plan.join(places, by_source).drop("weight", "n_passes")
 
-    picked = rows.join(plan, [*by_source, "block"])
+    # a block's draws lie n_blocks apart in its source's order, which the shards share out in turn
+    def shard_of(c: Column) -> Column:
+        nth = c * F.col("n_blocks") + F.col("nth")
+        return F.size(F.filter("until", lambda x: x <= nth))
+
+    turns = F.sequence(F.lit(0).cast("long"), F.col("passes"))
+    plan = plan.join(places, by_source).withColumn("shards", F.transform(turns, shard_of))
+    plan = scratch.keep(plan.select(*by_source, "block", "source_size", "target", "passes", "part", "before", "extra", "ends_here", "shards"), "placed")
+
+    # a plan beyond the bound meets the rows by sort and merge
+    small = F.broadcast(plan) if plan.count() <= small_plan else plan.hint("merge")
+    picked = rows.join(small, [*by_source, "block"])
     inside = Window.partitionBy(*by_source, "block").orderBy("perm", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    # the window has the join's partitioning, so documents move once
-    out = picked.withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = F.when(F.col("ends_here"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("before") - F.col("words_before")))).when(F.col("extra"), F.col("size")).otherwise(0)
-    out = out.withColumn("last", last.cast("long"))
+    room = F.col("part") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    ending = picked.where("ends_here").withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long"))
+    others = picked.where("not ends_here").withColumn("last", F.when(F.col("extra"), F.col("size")).otherwise(0).cast("long"))
+    out = others.unionByName(ending)
     draws = F.col("passes") + F.when(F.col("last") > 0, 1).otherwise(0)
-    turn = F.when(draws > 0, F.sequence(F.lit(0).cast("long"), draws - 1)).otherwise(F.array().cast("array<long>"))
 
-    def placed(c: Column) -> Column:
-        nth = c * F.col("n_blocks") + F.col("nth")
-        shard = F.size(F.filter("until", lambda x: x <= nth))
-        return F.struct(c.cast("int").alias("pass"), shard.alias("shard"), F.xxhash64("perm", c, F.lit(seed)).alias("position"))
+    def placed(shard: Column, c: Column) -> Column:
+        return F.struct(c.cast("int").alias("pass"), shard.alias("shard"), F.xxhash64("perm", c.cast("long"), F.lit(seed)).alias("position"))
 
     return out.select(
         *(["row"] if carry else []),
@@ -171,5 +194,13 @@ def mix_sources(docs: DataFrame, levels: int = 4, blocks: int = 1024, most: int
         (F.col("passes") * F.col("size") + F.col("last")).alias("taken"),
         F.col("passes").cast("int").alias("passes"),
         "last",
-        F.transform(turn, placed).alias("placements"),
+        F.transform(F.slice("shards", F.lit(1), draws.cast("int")), placed).alias("placements"),
+        F.lit(1 << levels).alias("n_shards"),
     )
+
+
+def shuffled(mixed: DataFrame, draws: Column) -> DataFrame:
+    """The rows of a mix as often as ``draws`` says, dealt out by shard and put in each shard in order of position."""
+    each = mixed.select("row", F.explode(F.slice("placements", F.lit(1), draws)).alias("at"))
+    n = mixed.select("n_shards").head()
+    return each.repartition(n[0] if n else 1, F.col("at.shard")).sortWithinPartitions("at.shard", "at.position").select("row.*")

@@ -1,20 +1,24 @@
-"""All documents mixed to the weights of their sources."""
+"""All documents mixed to the weights of their sources; ``placed`` counts a document's places in shards that the splitting tree gave."""
+
+from pyspark.sql import functions as F
 
 from lapidary.llm.mixing import mix_sources
 
 
 def query(spark, sf_dir):
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=False)
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    placed = F.size(F.filter("placements", lambda p: (p["shard"] >= 0) & (p["shard"] < F.col("n_shards"))))
+    return out.select("doc_id", "size", "source_size", "target", "taken", placed.cast("long").alias("placed"))
 
 
 ORACLE = r"""
-with d as (
+with n as (select cast(greatest(1024, pow(2, greatest(0, ceil(log2(greatest(1, count(*) / 2000.0)))))) as bigint) as blocks from documents),
+d as (
   select cast(doc_id as bigint) as doc_id, source is null as no_source, coalesce(source, '') as src,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
          md5('5:' || coalesce(cast(doc_id as varchar), '')) as perm,
-         cast(('0x' || substr(md5('block:5:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % 1024 as integer) as block
-  from documents),
+         cast(('0x' || substr(md5('block:5:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % n.blocks as integer) as block
+  from documents, n),
 b as (select no_source, src, block, cast(sum(size) as bigint) as words from d group by all),
 s as (select no_source, src, cast(sum(words) as bigint) as source_size from b group by all),
 w as (select *, (row_number() over (order by no_source, src) - 1) % 3 + 1 as weight from s),
@@ -27,5 +31,6 @@ o as (select *, coalesce(sum(words) over (partition by no_source, src order by m
 x as (select d.doc_id, d.size, q.source_size, q.target, q.passes, q.part, o.before,
              coalesce(sum(d.size) over (partition by d.no_source, d.src, d.block order by d.perm, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as within
       from d join o using (no_source, src, block) join q using (no_source, src))
-select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, part - before - within)) as bigint) as taken from x
+select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(size, part - before - within)) as bigint) as taken,
+       passes + case when least(size, part - before - within) > 0 then 1 else 0 end as placed from x
 """

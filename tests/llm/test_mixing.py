@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lapidary.llm.mixing import hypergeometric, mix_sources, splitting_tree
+from lapidary.llm.mixing import block_count, hypergeometric, mix_sources, shard_levels, shuffled, splitting_tree
 from tests.llm.helpers import docs_frame
 
 
@@ -42,6 +42,39 @@ def test_targets_and_taken(spark):
     assert sorted(map(str, again.collect())) == sorted(str(r) for r in mix_sources(frame.repartition(7), blocks=16).select("doc_id", "taken", "placements").collect())
 
 
+def test_shards_are_disjoint_shares_in_shuffled_order(spark):
+    rows = [(i, "w " * (i % 9 + 1), ["a", "b", "hot", "hot", "hot", None][i % 6]) for i in range(3000)]
+    frame = docs_frame(spark, rows)
+    mixed = mix_sources(frame, levels=3, blocks=64)
+    got = mixed.select("doc_id", "row.source", F.explode("placements").alias("p")).select("doc_id", "source", "p.*").collect()
+    assert {r.shard for r in got} == set(range(8)) and len({(r.doc_id, r["pass"]) for r in got}) == len(got)
+    # each shard has its share of every source, as drawing blocks without replacement gives it
+    for source in ("a", "b", "hot", None):
+        own = [r.shard for r in got if r.source == source]
+        shares = [own.count(s) / len(own) for s in range(8)]
+        assert max(abs(x - 1 / 8) for x in shares) < 0.12
+    out = shuffled(mixed, F.size("placements")).withColumn("part", F.spark_partition_id()).collect()
+    assert len(out) == len(got) and out[0].asDict().keys() == {*frame.columns, "part"}
+    shards = {}
+    for r in sorted(got, key=lambda r: (r.shard, r.position)):
+        shards.setdefault(r.shard, []).append(r.doc_id)
+    parts = {}
+    for r in out:
+        parts.setdefault(r.part, []).append(r.doc_id)
+    assert sorted(sum((v for v in parts.values()), [])) == sorted(r.doc_id for r in got)
+    runs = [v for v in parts.values()]
+    assert all(any(f", {str(own)[1:-1]}," in f", {str(run)[1:-1]}," for run in runs) for own in shards.values())
+    assert all(own != sorted(own) for own in shards.values())
+
+
+def test_plans_grow_with_the_rows(spark):
+    assert (block_count(0), block_count(10**6), block_count(10**9)) == (1024, 1024, 1 << 19)
+    assert (shard_levels(0), shard_levels(10**6), shard_levels(10**9)) == (4, 5, 10)
+    frame = docs_frame(spark, [(i, "w " * (i % 5), "ab"[i % 2]) for i in range(200)])
+    merged, sent = (sorted(map(str, mix_sources(frame, blocks=8, small_plan=n).select("doc_id", "taken", "placements").collect())) for n in (0, 1000))
+    assert merged == sent
+
+
 def test_no_rows(spark):
     assert mix_sources(docs_frame(spark, [(1, "a")]).limit(0)).collect() == []
 
