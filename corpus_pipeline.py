@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm.minhash import near_duplicates
-from lapidary.llm.mixing import mix_sources
+from lapidary.llm.mixing import mix_sources, shuffled
 from lapidary.llm.packing import pack_documents
-from lapidary.llm.pseudonyms import pseudonymise
+from lapidary.llm.pseudonyms import pseudonymise, session_key
 from lapidary.llm.scratch import Scratch
 from lapidary.llm.toxicity import score_documents
 
@@ -40,15 +40,15 @@ def _repeats(docs: DataFrame) -> bool:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal values under format-preserving pseudonyms."""
-    out = pseudonymise(docs.select(COLUMNS), b"lapidary-example-key")
+    out = pseudonymise(docs.select(COLUMNS), session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shard by shard; the one in which a source's last pass ends goes in whole if half of it fits."""
+    """Documents as often as the mix takes them, a file a shard, shuffled in each; the one in which a source's last pass ends goes in whole if half of it fits."""
     mixed = mix_sources(docs.select(COLUMNS))
     whole = F.col("passes") + F.when((F.col("last") > 0) & (2 * F.col("last") >= F.col("size")), 1).otherwise(0)
-    return mixed.select("row", F.explode(F.slice("placements", F.lit(1), whole)).alias("at")).select("row.*")
+    return shuffled(mixed, whole.cast("int"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
