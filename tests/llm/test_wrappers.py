@@ -1,6 +1,10 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
-from lapidary.llm.wrappers import Item, align, extract, main_text, page_items, page_stream
+from lapidary.llm.wrappers import Item, align, extract, infer_wrappers, main_text, page_items, page_stream, text_key
 
 ARTICLE = (
     '<html><head><title>T</title><style>p{}</style></head><body class="nav-open"><nav><ul><li><a href=/a>A</a></li></ul></nav><header><h2>Site</h2></header>'
@@ -17,16 +21,15 @@ def test_article_without_the_rest():
 
 @pytest.mark.parametrize("page, want", [("", ""), ("plain < text & more", "plain < text & more"), ("<p>a<p>b</div></p>", "a\n\nb"), ("<main><p>m</p></main><p>out</p>", "m"), ("<!-- x --><p>a &am &amp</p", "a &am &"), ("<p>x</p><script>never closed <p>y", "x")])
 def test_odd_pages(page, want):
-    items = page_items(*page_stream(page))
-    assert main_text(page, items, 1) == want
+    assert main_text(page, page_items(*page_stream(page)[1:])) == want
 
 
 def test_alignment_makes_slots_groups_and_options():
     pages = ["<div><p>same</p><p>same</p></div><h1>t1</h1>", "<div><p>same</p></div><h1>t2</h1><hr><h3>extra</h3>"]
-    one, two = (page_items(*page_stream(p)) for p in pages)
+    one, two = (page_items(*page_stream(p)[1:]) for p in pages)
     joined = align(one, two)
     title = next(x for i, x in enumerate(joined) if x.kind == "x" and joined[i - 1].key == "h1")
-    assert title.mark is None and any(x.optional for x in joined)
+    assert title.pages == 2 and any(x.optional for x in joined)
     again = [Item.of(x.plain()) for x in joined]
     assert [x.plain() for x in again] == [x.plain() for x in joined]
 
@@ -62,3 +65,105 @@ def test_template_text_inside_the_article_goes_too(spark):
     assert got[:5] == [f"Head {i}\n\nBody {i} of some length that differs" for i in range(5)]
     assert got[5:10] == [f"One head\n\nThe long paragraph that all versions share with each other.\n\nAnd a second one that they share.\n\nVersion {i}" for i in range(5)]
     assert all("Quoted." in t for t in got[10:13])
+
+
+class PlainReader(HTMLParser):
+    """The article's blocks of well-formed pages of the test tables, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.parts, self.blocks = 0, 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.flush()
+            self.inside += 1
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in ("script", "style"):
+            self.skip += 1
+        elif tag not in ("a", "b"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip -= 1
+        elif tag not in ("a", "b"):
+            self.flush()
+        if tag == "article":
+            self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_pages_of_the_tables_against_a_plain_reader(spark):
+    from lapidary.llm.q_op2_wrappers import query
+
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        reader = PlainReader()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.flush()
+        want[r.page_id] = "\n\n".join(reader.blocks)
+    got = query(spark, "/root/testdata/sf0.01").collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_the_wrapper_decides():
+    pages = [f"<article><h1>T{i}</h1><p>Own text {i} of this page.</p><h4>Read all our guides now.</h4><p>{'Quoted.' if i < 3 else f'Other {i}.'}</p></article>" for i in range(8)]
+    streams = [page_stream(p) for p in pages]
+    wrapper = [Item.of(x.plain()) for x in page_items(*streams[0][1:])]
+    for s in streams[1:]:
+        wrapper = align(wrapper, page_items(*s[1:]))
+    often = {text_key("a", "Read all our guides now."): 8, text_key("a", "Quoted."): 3}
+    assert main_text(pages[0], wrapper, often) == "T0\n\nOwn text 0 of this page.\n\nQuoted."
+    # by itself the page doesn't tell which of the two is template
+    assert main_text(pages[0], page_items(*streams[0][1:]), often) == "T0\n\nOwn text 0 of this page."
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("<p class='share-price'>Up.</p><p class='related-work'>Older.</p>", "Up.\n\nOlder."),
+    ("<p class='share-box'>S</p><p class='post-comments'>c</p><p>in</p>", "in"),
+    ("<p>a</p><select><option>x<p>b</p>", "a\n\nx\n\nb"),
+    ("<svg><svg><text>no</text></svg>no</svg><p>b</p>", "b"),
+    ("<video><p>no player</p></video><p>b</p><iframe src=x>", "b"),
+    ("<p><a href=x>All of this paragraph is a link.</a></p>", "All of this paragraph is a link."),
+])
+def test_names_and_unclosed_elements(inside, want):
+    for page in (f"<article>{inside}</article>", f"<div>{inside}</div>"):
+        assert main_text(page, page_items(*page_stream(page)[1:])) == want
+
+
+def test_menus_outside_articles():
+    page = "<div><ul><li><a>Home</a><li><a>All news</a></ul></div><div><p>Body text with a <a>link</a>.</p></div>"
+    assert main_text(page, page_items(*page_stream(page)[1:])) == "Body text with a link."
+
+
+def test_order_and_partitions_do_not_matter(spark):
+    rng = random.Random(5)
+    part = lambda i: rng.choice(["<h2>h{0}</h2>", "<p>p{0}</p>", "<ul><li>a{0}<li>b</ul>", "<table><tr><td>c{0}</table>", "<h5>Same in many pages.</h5>"]).format(i)
+    rows = [(i, f"http://h{i % 3}.example/", "<div>" + "".join(part(i) for _ in range(rng.randrange(1, 30))) + "</div>") for i in range(200)]
+    seen = []
+    for n, order in ((1, rows), (5, rows[::-1]), (3, sorted(rows, key=lambda r: r[2]))):
+        frame = spark.createDataFrame(order, "page_id long, url string, html string").repartition(n)
+        wrappers = sorted((r.host, r.wrapper, sorted((r.often or {}).items())) for r in infer_wrappers(frame, together=8).collect())
+        seen.append((wrappers, sorted(tuple(r) for r in extract(frame).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 3 and len(seen[0][1]) == 200
+
+
+def test_long_pages_take_linear_time(spark):
+    rng = random.Random(6)
+    body = lambda n: "".join(rng.choice(["<h2>t{0}</h2>", "<p>a{0}</p>", "<blockquote>b{0}</blockquote>", "<ul><li>1{0}<li>2</ul>"]).format(i) for i in range(n))
+    rows = [(i, "http://h.example/", f"<div><h5>All rights here</h5></div><div>{body(n)}</div>") for i, n in enumerate((20_000, 25_000, 30_000, 5))]
+    began = time.time()
+    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 90 and all(not r.text.startswith("All rights") for r in got.values()) and got[2].n_chars > 100_000
