@@ -17,13 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.llm.resident import resident
-from lapidary.llm.scratch import small_batches
+from lapidary.llm.scratch import Scratch, small_batches
 
-_WORD = re.compile(r"[^\W_]{3,40}")
+_WORD = re.compile(r"[^\W_]+")
 ROOTS = (4, 5, 6, 7)
 
 
@@ -142,16 +142,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 6000, size: int = 64_000, seed: int = 10) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_ordinary: int = 6000, size: int = 64_000, seed: int = 10, sample_bytes: int = 48 << 20) -> Model:
     """Fit on at most ``sample_toxic`` and ``sample_ordinary`` labelled documents, chosen by hash.
 
-    The two bounds are what reaches the driver: the distinct words of that many texts. Equal
-    word sets count once. Labels other than 0 and 1 and null ids are left out. Without both
-    labels every score is the share of toxic labels, at most 0.49.
+    What reaches the driver are the distinct words of that many texts, those first in order of the
+    hash that make up ``sample_bytes`` bytes at most. Equal word sets count once. Labels other than 0
+    and 1, ids that have both, and null ids are left out. Without both labels every score is the
+    share of toxic labels, at most 0.49.
     """
     picked = None
+    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     for value, most in ((1, sample_toxic), (0, sample_ordinary)):
-        part = labels.where((F.col("toxic") == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.lit(value).alias("is_toxic"))
+        part = labels.where(F.col("toxic") == value).select(F.col("doc_id").alias("label_id"), F.lit(value).alias("is_toxic"))
         part = part.orderBy(F.xxhash64("label_id", F.lit(seed)), "label_id").limit(most)
         picked = part if picked is None else picked.union(part)
 
@@ -161,7 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_o
 
     small_batches(docs.sparkSession)
     # the picked ids are bounded by the two parameters
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "is_toxic", distinct_words("text").alias("words")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "is_toxic", distinct_words("text").alias("words"))
+    rows = Scratch(docs.sparkSession).keep(rows, "sample")
+    # a window over the picked rows only; each label has half of the bytes
+    upto = F.sum(F.octet_length("words")).over(Window.partitionBy("is_toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "words"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).drop("upto").collect()
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
         seen.setdefault(r.words, r.is_toxic)
@@ -212,7 +218,11 @@ def score_column(model: Model, text: str = "text"):
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``held_out, score, predicted``; learns from ids whose CRC-32 isn't divisible by 5."""
+    """``docs`` with ``held_out, score, predicted``; learns from ids whose CRC-32 isn't divisible by 5.
+
+    Columns of these three names that ``docs`` has are replaced; others stay. Repeated rows are
+    scored alike, whole texts of any length; an empty table gives no row.
+    """
     apart = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
     model = train(docs, labels.where(~apart("doc_id")))
     small_batches(docs.sparkSession)

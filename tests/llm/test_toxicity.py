@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from lapidary.llm.toxicity import score_documents
+import pytest
+from pyspark.sql import functions as F
+from lapidary.llm.toxicity import WordDistance, score_documents, train
 from tests.llm.helpers import docs_frame
 
 
@@ -31,3 +33,36 @@ def test_held_out_accuracy_and_edges(spark):
     assert score_documents(frame.limit(0).select("doc_id", "text"), label_frame.limit(0)).collect() == []
     none = score_documents(frame.select("doc_id", "text"), label_frame.limit(0)).select("predicted").distinct().collect()
     assert [r.predicted for r in none] == [0]
+
+
+def test_conflicting_labels_clashing_columns_and_bounds(spark):
+    rows = [(i, ("vexogrim " if i % 4 == 0 else "plain ") + f"word{i} other{i % 7} text") for i in range(200)]
+    frame = docs_frame(spark, rows).select("doc_id", "text", F.lit("mine").alias("score"), F.lit("kept").alias("extra"))
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    both = [*labels, *((i, 1, 1 - t) for i, _, t in labels[:40])]
+    scores = []
+    for order in (both, both[::-1]):
+        got = score_documents(frame, spark.createDataFrame(order, "doc_id long, quality int, toxic int").repartition(3)).collect()
+        assert all(r.extra == "kept" and 0 <= r.score <= 1 for r in got) and len(got) == 200
+        scores.append(sorted((r.doc_id, r.score) for r in got))
+    assert scores[0] == scores[1]
+    sums = {r.doc_id: r.predicted for r in got}
+    assert sum(sums[i] == t for i, _, t in labels) >= 195
+    # a bound that leaves no text gives the score of no evidence
+    none = train(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_bytes=2)
+    assert none.weights[1:] == (0.0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("word", ["vexogrim", "é" * 5, "x", "long" * 3000])
+def test_distance_is_the_difference_of_plain_compressed_lengths(word):
+    import zstandard
+
+    ordinary, toxic = b" plain words of all kinds ", b" vexogrim vexogrim "
+    params = WordDistance(ordinary, toxic)
+    window = f" {word} {word} ".encode()
+    own = []
+    for content in (ordinary, toxic):
+        kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.append(len(WordDistance._compressor(content)(window)))
+        assert zstandard.ZstdDecompressor(dict_data=kept, format=zstandard.FORMAT_ZSTD1_MAGICLESS).decompress(WordDistance._compressor(content)(window), max_output_size=len(window)) == window
+    assert params(word) == own[0] - own[1] and (params(word) > 0) == (word == "vexogrim")
