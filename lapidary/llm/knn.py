@@ -1,12 +1,15 @@
 """Exact top-k inner products by a Voronoi join.
 
-Vectors become integers. Pivots, a bounded sample, part the queries into cells. For each cell
-one pass over the candidates keeps the greatest lower bounds of their scores with any query of
-the cell (product with the pivot less cell radius times length); the k-th of them is a score
-that every query of the cell reaches. A second pass copies a candidate only to the parts (cells that
-lie beside each other, of a bounded number of queries) where its upper bound for some cell
-reaches that. Parts are solved locally, in blocks of candidates, and the blocks' best merged. Equal vectors are one candidate with the few smallest ids that can be
-among anyone's best, so copies cost nothing.
+Vectors become integers. Pivots, a bounded sample that grows with the root of the queries, part
+queries and candidates into cells. For each cell of queries one pass over the candidates keeps the
+greatest lower bounds of their scores with any query of the cell (product with the pivot less cell
+radius times length); the k-th of them is a score that every query of the cell reaches. A cell of
+candidates, known by its radius and number, goes to a cell of queries only if the two pivots'
+product and both radii allow a score of that size, and of it only the candidates whose own upper
+bound does. They are copied to parts (cells of queries that lie beside each other, of a bounded
+number of queries), which are solved locally, in blocks of candidates of one cell, and the blocks'
+best merged; a query asks only the blocks of cells that its part needs. Equal vectors are one
+candidate with the few smallest ids that can be among anyone's best, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -52,19 +55,20 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.transform(e, lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
 
 
-def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_pivots: int = 64, block_rows: int = 2048, block_candidates: int = 10_000) -> DataFrame:
+def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_pivots: int | None = None, block_rows: int = 2048, block_candidates: int = 10_000) -> DataFrame:
     """For each ``vec_id`` divisible by ``query_every``: its k best others, as ``query_id, rank, vec_id, score``.
 
     Ties go to the smaller id. A shorter vector counts as padded with zeros. Rows that repeat an
     id are candidates of their own, except for a query of that id. Fewer than k others give
-    fewer rows; no query or an empty table gives none.
+    fewer rows; no query or an empty table gives none. Further columns, whatever their names,
+    take no part. There are ``n_pivots`` pivots, by default twice the root of the queries, 16 to 1024.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     small_batches(spark)
     rows = whole_vectors(vectors)
     # of equal vectors only the k + 1 smallest ids can be among the best k of a query or the query itself
-    rows = scratch.keep(rows.withColumn("key", F.hash("v")), "vectors")
+    rows = scratch.keep(rows, "vectors")
     salted = Window.partitionBy("v", "salt").orderBy("vec_id")
     most = Window.partitionBy("v").orderBy("vec_id")
     unique = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).withColumn("nth", F.row_number().over(salted)).where(F.col("nth") <= k + 1)
@@ -73,6 +77,7 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
     queries = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").distinct()
 
     # bounded: n_pivots vectors
+    n_pivots = n_pivots or min(1024, max(16, 2 * math.isqrt(queries.count())))
     sample = [r.v for r in queries.orderBy(F.xxhash64("vec_id")).limit(n_pivots).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -84,12 +89,15 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
         w = max(m.shape[1], width)
         return np.pad(m, ((0, 0), (0, w - m.shape[1]))), np.pad(pivots, ((0, 0), (0, w - width)))
 
+    def nearest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pivot nearest to each row, and how far it is."""
+        m, p = fitted(m)
+        cell = ((m**2).sum(1)[:, None] - 2 * (m @ p.T) + (p**2).sum(1)[None]).argmin(1)
+        return cell, np.sqrt(((m - p[cell]) ** 2).sum(1))
+
     def assign(batches):
         for batch in batches:
-            m, p = fitted(_matrix(batch.column(1)))
-            distance = (m**2).sum(1)[:, None] - 2 * (m @ p.T) + (p**2).sum(1)[None]
-            cell = distance.argmin(1)
-            far = np.sqrt(((m - p[cell]) ** 2).sum(1))
+            cell, far = nearest(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(far)], ["query_id", "v", "cell", "far"])
 
     cells = scratch.keep(queries.mapInArrow(assign, "query_id long, v array<double>, cell int, far double"), "cells")
@@ -122,30 +130,65 @@ def top_inner_products(vectors: DataFrame, query_every: int = 50, k: int = 5, n_
 
     def lower(batches):
         best = np.full((len(live), k + 1), -np.inf)
+        far_here, n_here = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
         for batch in batches:
-            low = bounds(_matrix(batch.column(0)))[0].T
+            m = _matrix(batch.column(0))
+            home, far = nearest(m)
+            np.maximum.at(far_here, home, far)
+            np.add.at(n_here, home, 1)
+            low = bounds(m)[0].T
             copies = np.minimum(np.diff(batch.column(1).offsets.to_numpy()), k + 1)
             low = np.repeat(low, copies, axis=1)
             best = np.sort(np.concatenate([best, low], axis=1), axis=1)[:, -(k + 1) :]
-        real = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(live, real.sum(1)).astype(np.int32)), pa.array(best[real])], ["cell", "low"])
+        real, there = np.isfinite(best), np.flatnonzero(n_here)
+        cells_of = [np.repeat(live, real.sum(1)), there]
+        none = [pa.nulls(len(there), pa.float64()), pa.nulls(int(real.sum()), pa.float64())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(cells_of).astype(np.int32)),
+                pa.concat_arrays([pa.array(best[real]), none[0]]),
+                pa.concat_arrays([none[1], pa.array(far_here[there])]),
+                pa.concat_arrays([pa.nulls(int(real.sum()), pa.int64()), pa.array(n_here[there])]),
+            ],
+            ["cell", "low", "far", "n"],
+        )
 
     # k + 1, for a query is a candidate of its own cell too
-    lows = points.select("v", "ids").mapInArrow(lower, "cell int, low double")
+    told = scratch.keep(points.select("v", "ids").mapInArrow(lower, "cell int, low double, far double, n long"), "told")
+    lows = told.where("low is not null").select("cell", "low")
     ranked = lows.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).where(F.col("nth") == k + 1)
     reach = {r.cell: r.low for r in ranked.collect()}  # one row a pivot
     least = np.array([reach.get(int(c), -np.inf) for c in live])
 
+    # which cells of candidates can matter to which cells of queries: one row a pivot again
+    data = {r.cell: (r.far, r.n) for r in told.where("n is not null").groupBy("cell").agg(F.max("far").alias("far"), F.sum("n").alias("n")).collect()}
+    homes = np.array(sorted(data))
+    wide = np.array([data[c][0] for c in homes.tolist()]) * (1 + 1e-9) + 1e-6
+    length = np.sqrt((pivots**2).sum(1))
+    most_between = pivots[homes] @ pivots[live].T + np.outer(length[homes], radius) + np.outer(wide, length[live]) + np.outer(wide, radius)
+    meet = np.zeros((len(pivots), len(live)), bool)
+    meet[homes] = most_between * (1 + 1e-9) + 1e-6 >= least[None, :]
+    # a cell's candidates are dealt into blocks of their own
+    shares = np.ones(len(pivots), np.int64)
+    shares[homes] = [max(1, math.ceil(data[c][1] / block_candidates)) for c in homes.tolist()]
+    first_block = np.concatenate([[0], np.cumsum(shares)])
+
     def send(batches):
         for batch in batches:
-            goes = bounds(_matrix(batch.column(0)))[1] >= least[None, :]
-            row, part = np.nonzero(goes @ serves)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(part.astype(np.int32))], ["v", "ids", "part"])
-
-    blocks = int(max(4, math.ceil(points.count() / block_candidates)))
-    sent = points.select("v", "ids").mapInArrow(send, "v array<double>, ids array<long>, part int").withColumn("block", F.pmod(F.hash("v"), F.lit(blocks)))
+            m = _matrix(batch.column(0))
+            home, _ = nearest(m)
+            row, part = np.nonzero(((bounds(m)[1] >= least[None, :]) & meet[home]) @ serves)
+            mixed = np.abs(m).sum(1).astype(np.int64) * 2654435761 >> 7
+            block = first_block[home] + mixed % shares[home]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(part.astype(np.int32)), pa.array(block[row].astype(np.int32))], ["v", "ids", "part", "block"])
+
+    sent = points.select("v", "ids").mapInArrow(send, "v array<double>, ids array<long>, part int, block int")
+    # the blocks that a part needs, from bounds between cells: pairs of pivots at most
+    home_of, part_of = np.nonzero(meet @ serves)
+    needed = [(int(p), int(first_block[h]), int(first_block[h + 1]) - 1) for h, p in zip(home_of, part_of, strict=True)]
+    asks = spark.createDataFrame(needed, "part int, low int, high int").select("part", F.explode(F.sequence("low", "high")).alias("block"))
     of_cell = lambda d: F.element_at(F.array(*(F.lit(int(d.get(c, 1))) for c in range(len(pivots)))), F.col("cell") + 1)
-    asked = cells.withColumn("part", of_cell(first_part) + F.pmod(F.hash("query_id"), of_cell(splits))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = cells.withColumn("part", (of_cell(first_part) + F.pmod(F.hash("query_id"), of_cell(splits))).cast("int")).join(asks, "part")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []

@@ -31,6 +31,15 @@ def test_against_all_pairs(spark):
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 5, 5)
 
 
+def test_cells_far_apart(spark):
+    rng = random.Random(7)
+    rows = [(i, [float(x) for x in ([rng.randrange(40, 50), rng.randrange(3)] if i % 3 else [rng.randrange(3) / 8, -rng.randrange(40, 50)])], 0) for i in range(300)]
+    rows += [(400 + i, [0.125, 0.125], 0) for i in range(20)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = top_inner_products(frame, query_every=10, k=3, block_rows=5, block_candidates=20).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 10, 3)
+
+
 def test_few_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], SCHEMA)
     assert [tuple(r) for r in top_inner_products(frame).collect()] == [(0, 1, 1, 256 * 512)]
