@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm.resident import resident
@@ -165,9 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_o
     # the picked ids are bounded by the two parameters
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("doc_id", "is_toxic", distinct_words("text").alias("words"))
     rows = Scratch(docs.sparkSession).keep(rows, "sample")
-    # a window over the picked rows only; each label has half of the bytes
-    upto = F.sum(F.octet_length("words")).over(Window.partitionBy("is_toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "words"))
-    rows = rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).drop("upto").collect()
+    # a few numbers a picked row say which words come: those first in order of the hash
+    chosen: list[int] = []
+    room = {0: sample_bytes // 2, 1: sample_bytes // 2}
+    sizes = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "is_toxic", F.octet_length("words").alias("n")).collect()
+    for r in sorted(sizes):
+        room[r.is_toxic] -= r.n
+        if room[r.is_toxic] >= 0:
+            chosen.append(r.doc_id)
+    rows = (rows if len(chosen) == len(sizes) else rows.where(F.col("doc_id").isin(chosen))).collect()
     seen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
         seen.setdefault(r.words, r.is_toxic)

@@ -69,7 +69,7 @@ def test_shards_are_disjoint_shares_in_shuffled_order(spark):
 
 def test_plans_grow_with_the_rows(spark):
     assert (block_count(0), block_count(10**6), block_count(10**9)) == (1024, 1024, 1 << 19)
-    assert (shard_levels(0), shard_levels(10**6), shard_levels(10**9)) == (4, 5, 10)
+    assert (shard_levels(0), shard_levels(10**6), shard_levels(10**9)) == (4, 8, 12)
     frame = docs_frame(spark, [(i, "w " * (i % 5), "ab"[i % 2]) for i in range(200)])
     merged, sent = (sorted(map(str, mix_sources(frame, blocks=8, small_plan=n).select("doc_id", "taken", "placements").collect())) for n in (0, 1000))
     assert merged == sent
