@@ -110,8 +110,8 @@ def block_count(rows: int, least: int = 1024, block_rows: int = 2000) -> int:
     return max(least, 1 << max(0, math.ceil(math.log2(max(1, rows / block_rows)))))
 
 
-def shard_levels(rows: int, shard_rows: int = 50_000, least: int = 4, most: int = 10) -> int:
-    """Levels of the splitting tree: shards of about ``shard_rows`` documents, at least 16 and at most 1024."""
+def shard_levels(rows: int, shard_rows: int = 5_000, least: int = 4, most: int = 12) -> int:
+    """Levels of the splitting tree: shards of about ``shard_rows`` documents, at least 16 and at most 4096."""
     return min(most, max(least, math.ceil(math.log2(max(1, rows / shard_rows)))))
 
 
