@@ -19,40 +19,61 @@ from lapidary.llm.scratch import Scratch
 _TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY.*$", "object": "^OBJECT.*$"}
 
 
+#: JSON Schema keywords that say nothing about validity
+_ANNOTATIONS = {"title", "description", "default", "examples", "$schema", "$id", "$comment"}
+_RULES = {"type", "minLength", "maxLength", "minimum", "maximum", "enum", "pattern", "properties", "required", "additionalProperties"}
+
+
+def _inside(schema: dict, value: Column, text: Column, when: Column, label: str) -> list[Column]:
+    """What is wrong, where ``when`` holds, with the members of the object ``value``, whose JSON is ``text``."""
+    unknown = set(schema) - _RULES - _ANNOTATIONS
+    if unknown:
+        raise ValueError(f"schema keywords that aren't checked: {sorted(unknown)}")
+    properties, required = schema.get("properties", {}), schema.get("required", [])
+    found = []
+    if schema.get("additionalProperties", True) is False:
+        allowed = F.array(*(F.lit(p) for p in properties)) if properties else F.array().cast("array<string>")
+        found.append(F.when(when & (F.size(F.array_except(F.json_object_keys(text), allowed)) > 0), f"{label}: unknown argument" if label else "unknown argument"))
+    for prop in dict.fromkeys([*properties, *required]):
+        if '"' in prop or "\\" in prop:
+            raise ValueError(f"property names with quotation marks or backslashes have no path: {prop!r}")
+        rule, name, path = properties.get(prop, {}), f"{label}.{prop}" if label else prop, f'$["{prop}"]'
+        own = F.try_variant_get(value, path, "variant")
+        there = F.coalesce(own.isNotNull() & ~F.is_variant_null(own), F.lit(False))
+        if prop in required:
+            found.append(F.when(when & ~there, f"{name}: missing"))
+        present = when & there
+        if "type" in rule:
+            found.append(F.when(present & ~F.schema_of_variant(own).rlike(_TYPES[rule["type"]]), f"{name}: type"))
+        word, number = F.try_variant_get(value, path, "string"), F.try_variant_get(value, path, "double")
+        for keyword, bad in (
+            ("minLength", lambda n, word=word: F.length(word) < n),
+            ("maxLength", lambda n, word=word: F.length(word) > n),
+            ("minimum", lambda n, number=number: number < n),
+            ("maximum", lambda n, number=number: number > n),
+            ("enum", lambda n, word=word: ~word.isin(list(map(str, n)))),
+            ("pattern", lambda n, word=word: ~word.rlike(n)),
+        ):
+            if keyword in rule:
+                found.append(F.when(present & F.coalesce(bad(rule[keyword]), F.lit(False)), f"{name}: {keyword}"))
+        is_object = present & F.coalesce(F.schema_of_variant(own).startswith("OBJECT"), F.lit(False))
+        found += _inside(rule, own, F.to_json(own), is_object, name)
+    return found
+
+
 def argument_errors(name: Column, parsed: Column, text: Column, tools: dict[str, dict]) -> Column:
     """Sorted array of what is wrong with a call's arguments under ``tools``, JSON Schemas by name.
 
-    Known keywords: ``properties`` with ``type, minLength, maxLength, minimum, maximum, enum``,
-    ``required`` and ``additionalProperties: false``. An unknown tool and text that isn't an
-    object are errors.
+    Known keywords: ``properties`` with ``type, minLength, maxLength, minimum, maximum, enum,
+    pattern`` (found anywhere in the text), ``required`` and ``additionalProperties: false``, in
+    objects at any depth, whose members are named with dots. Any other keyword but annotations is
+    refused with a ValueError. An unknown tool and text that isn't an object are errors.
     """
     known = F.array(*(F.lit(t) for t in tools)) if tools else F.array().cast("array<string>")
-    is_object = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
-    errors = [F.when(~F.array_contains(known, F.coalesce(name, F.lit(""))), "unknown tool"), F.when(~F.coalesce(is_object, F.lit(False)), "arguments are no object")]
+    is_object = F.coalesce(parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    errors = [F.when(~F.array_contains(known, F.coalesce(name, F.lit(""))), "unknown tool"), F.when(~is_object, "arguments are no object")]
     for tool, schema in tools.items():
-        mine = F.coalesce(name == tool, F.lit(False)) & F.coalesce(is_object, F.lit(False))
-        properties = schema.get("properties", {})
-        if schema.get("additionalProperties", True) is False:
-            allowed = F.array(*(F.lit(p) for p in properties)) if properties else F.array().cast("array<string>")
-            errors.append(F.when(mine & (F.size(F.array_except(F.json_object_keys(text), allowed)) > 0), "unknown argument"))
-        for prop, rule in properties.items():
-            value = F.try_variant_get(parsed, f"$.{prop}", "variant")
-            there = value.isNotNull() & ~F.is_variant_null(value)
-            if prop in schema.get("required", []):
-                errors.append(F.when(mine & ~F.coalesce(there, F.lit(False)), f"{prop}: missing"))
-            present = mine & F.coalesce(there, F.lit(False))
-            if "type" in rule:
-                errors.append(F.when(present & ~F.schema_of_variant(value).rlike(_TYPES[rule["type"]]), f"{prop}: type"))
-            word, number = F.try_variant_get(parsed, f"$.{prop}", "string"), F.try_variant_get(parsed, f"$.{prop}", "double")
-            for keyword, bad in (
-                ("minLength", lambda n, word=word: F.length(word) < n),
-                ("maxLength", lambda n, word=word: F.length(word) > n),
-                ("minimum", lambda n, number=number: number < n),
-                ("maximum", lambda n, number=number: number > n),
-                ("enum", lambda n, word=word: ~word.isin(list(map(str, n)))),
-            ):
-                if keyword in rule:
-                    errors.append(F.when(present & F.coalesce(bad(rule[keyword]), F.lit(False)), f"{prop}: {keyword}"))
+        errors += _inside(schema, parsed, text, F.coalesce(name == tool, F.lit(False)) & is_object, "")
     return F.array_sort(F.array_compact(F.array(*errors)))
 
 
@@ -88,13 +109,13 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     identifier, so that whatever a call follows stands before it; calls on cycles come last.
     """
     scratch = Scratch(calls.sparkSession)
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))  # noqa: E731  null as a value
+    plain = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))  # noqa: E731  null as a value that no text equals
     keys = [plain("conv_id").alias("conv_key"), plain("call_id").alias("call_key")]
     least_call = F.min(F.struct("turn", "name", "arguments", "after")).alias("call")
     c = calls.groupBy(*keys).agg(least_call, F.count("*").alias("n_calls"), F.min("conv_id").alias("conv_id"), F.min("call_id").alias("call_id"))
     r = results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("result"), F.count("*").alias("n_results"), F.min("conv_id").alias("r_conv"), F.min("call_id").alias("r_call"))
     c = scratch.keep(c, "calls")
-    depths = chain_depths(c.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id"), F.col("call.after").alias("after")), scratch)
+    depths = chain_depths(c.select(F.col("conv_key").alias("conv_id"), F.col("call_key").alias("call_id"), F.concat(F.lit("="), F.col("call.after").cast("string")).alias("after")), scratch)
     depths = depths.select(F.col("conv_id").alias("conv_key"), F.col("call_id").alias("call_key"), "depth")
     rows = c.join(depths, ["conv_key", "call_key"]).join(r, ["conv_key", "call_key"], "full")
     rows = rows.withColumn("parsed", F.try_parse_json("call.arguments"))

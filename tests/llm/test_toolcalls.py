@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lapidary.llm.toolcalls import calls_from_turns, link_calls
 
 TOOLS = {"f": {"properties": {"a": {"type": "integer", "minimum": 1}, "s": {"type": "string", "enum": ["x", "y"]}, "o": {"type": "object"}}, "required": ["a"], "additionalProperties": False}}
@@ -32,3 +34,19 @@ def test_long_chain_and_no_rows(spark):
     assert run(spark, [], []) == []
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, depth int")
     assert link_calls(*calls_from_turns(empty), TOOLS).collect() == []
+
+
+def test_nested_schemas_dotted_names_patterns_and_null_like_identifiers(spark):
+    inner = {"type": "object", "properties": {"c d": {"type": "string", "pattern": "^x"}}, "required": ["c d"], "additionalProperties": False}
+    tools = {"f": {"title": "any", "properties": {"a.b": {"type": "integer"}, "o": inner}, "required": ["a.b", "q"]}}
+    calls = [
+        (1, 1, "ok", "f", '{"a.b":1,"q":0,"o":{"c d":"xy"}}', None), (1, 2, "dot", "f", '{"a":{"b":1},"q":0}', None), (1, 3, "deep", "f", '{"a.b":1,"q":0,"o":{"c d":"yx","e":1}}', None),
+        (1, 4, "none", "f", '{"a.b":"1","o":{}}', None), (1, 5, None, "f", '{"a.b":1,"q":0}', None), (1, 6, "\x00", "f", '{"a.b":1,"q":0}', "null"), (1, 7, "null", "f", '{"a.b":1,"q":0}', "\x00"),
+    ]
+    rows = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(1, 9, "\x00", "r")], RESULTS), tools).collect()
+    assert {r.call_id: (r.status, r.errors) for r in rows} == {
+        "ok": ("unanswered", ""), "dot": ("invalid", "a.b: missing"), "deep": ("invalid", "o.c d: pattern; o: unknown argument"),
+        "none": ("invalid", "a.b: type; o.c d: missing; q: missing"), None: ("unanswered", ""), "\x00": ("cycle", ""), "null": ("cycle", ""),
+    }
+    with pytest.raises(ValueError, match="items"):
+        link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"f": {"properties": {"l": {"items": {}}}}})
