@@ -11,7 +11,8 @@ buckets; confirmed links are joined into components. Where a bucket's members th
 in several components, the nodes outside its largest one are held against another member of
 that, a few times over. What remains is compared across components only, in blocks of bounded
 size that give back links alone, so that no link between different components is lost: a pair
-inside one component needs no further link to be in the same group.
+inside one component needs no further link to be in the same group. Rows of a hot bucket or
+group are dealt over several tasks wherever they meet a fact about it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm.components import connected_components
+from lapidary.llm.hot import dealt, hot_keys, spread
 from lapidary.llm.resident import release, trim
 from lapidary.llm.scratch import Scratch, small_batches
 from lapidary.llm.words import Words, mix, pieces
@@ -241,8 +243,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
     owners = usable.join(members.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["key1", "key2", "doc_id"])
     nodes = scratch.keep(owners.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands"), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("h"))
-    shared = bands.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-    buckets = scratch.keep(bands.join(shared, "h").select("h", "node", "lead"), "buckets")
+    shared = bands.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).where("lead <> last")
+    shared = scratch.keep(shared.select("h", "lead", "n"), "shared")
+    hot = scratch.keep(hot_keys(shared, "h", BANDS * nodes.count()), "hot")
+    buckets = scratch.keep(dealt(bands, hot, "h", "node").join(spread(shared, hot, "h"), ["h", "salt"]).select("h", "salt", "node", "lead"), "buckets")
     links = _Links(docs, nodes, buckets.select("node").distinct(), k, threshold, slack, scratch)
     same = members.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
 
@@ -253,13 +257,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
     rest, before = None, None
     for turn in range(rounds):
         # buckets that hold several components, and the component with most members in each
-        rows = buckets.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+        rows = buckets.join(labels, "node", "left").select("h", "salt", "node", F.coalesce("label", "node").alias("label"))
         several = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-        rows = rows.join(several, "h")
+        rows = rows.join(spread(several, hot, "h"), ["h", "salt"])
         by_turn = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         groups = rows.groupBy("h", "label").agg(F.count("*").alias("n"), F.min_by("node", by_turn).alias("lead"))
         mains = groups.groupBy("h").agg(F.max_by(F.struct("label", "lead"), F.struct("n", "label")).alias("main"))
-        rest = scratch.keep(rows.join(mains, "h").select("h", "node", "label", F.col("main.label").alias("main"), F.col("main.lead").alias("lead")), f"rest{turn}")
+        rest = scratch.keep(rows.join(spread(mains, hot, "h"), ["h", "salt"]).select("h", "salt", "node", "label", F.col("main.label").alias("main"), F.col("main.lead").alias("lead")), f"rest{turn}")
         open_rows = rest.where("label <> main").count()
         if before is not None and open_rows > 0.8 * before:
             break
@@ -271,33 +275,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, slack: flo
         edges = edges.union(links.confirmed(links.possible(next_pairs.select("x", "y")), f"turn{turn}"))
         labels = connected_components(edges, scratch, f"turn{turn}")
     else:
-        rows = buckets.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+        rows = buckets.join(labels, "node", "left").select("h", "salt", "node", F.coalesce("label", "node").alias("label"))
         mains = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
-        rest = scratch.keep(rows.join(mains.where("parts > 1"), "h").select("h", "node", "label", "main"), "rest")
+        rest = scratch.keep(rows.join(spread(mains.where("parts > 1"), hot, "h"), ["h", "salt"]).select("h", "salt", "node", "label", "main"), "rest")
 
     # What is left, across components only: nodes that unsettled buckets join are one group. Those
     # outside the group's largest component meet all of the group, block by block.
-    hops = rest.join(rest.groupBy("h").agg(F.min("node").alias("low")), "h").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    lows = rest.groupBy("h").agg(F.min("node").alias("low"))
+    hops = rest.join(spread(lows, hot, "h"), ["h", "salt"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
     groups = connected_components(hops, scratch, "groups")
     parts = rest.select("node", "label").distinct().join(groups.withColumnRenamed("label", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    mains = parts.groupBy("g", "label").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    parts = parts.join(mains, "g").join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").join(links.full, "node")
+    mains = parts.groupBy("g", "label").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"))
+    mains = scratch.keep(mains, "mains")
+    wide = scratch.keep(hot_keys(mains, "g", mains.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "wide")
+    parts = dealt(parts, wide, "g", "node").join(spread(mains.drop("n"), wide, "g"), ["g", "salt"])
+    parts = parts.join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node").join(links.full, "node")
     parts = scratch.keep(parts, "parts")
     blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(block_nodes)), F.ceil(size / F.lit(block_bytes)), F.lit(1))
     outside = F.col("label") != F.col("main")
     size = F.octet_length("grams")
     cuts = parts.groupBy("g").agg(blocks(F.count_if(outside), F.sum(F.when(outside, size).otherwise(0))).alias("na"), blocks(F.count("*"), F.sum(size)).alias("nb"))
-    cut = parts.join(cuts, "g").withColumn("at", F.xxhash64("node"))
+    cut = parts.join(spread(cuts, wide, "g"), ["g", "salt"]).withColumn("at", F.xxhash64("node"))
     columns = ["g", "ia", "ib", "outer", "node", "label", "n", "sig", "grams", "main"]
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     sides = [
-        cut.where(outside).withColumns({"outer": F.lit(True), "ia": F.pmod("at", "na").cast("int")}).withColumn("ib", spread("nb")).select(columns),
-        cut.withColumns({"outer": F.lit(False), "ib": F.pmod("at", "nb").cast("int")}).withColumn("ia", spread("na")).select(columns),
+        cut.where(outside).withColumns({"outer": F.lit(True), "ia": F.pmod("at", "na").cast("int")}).withColumn("ib", each("nb")).select(columns),
+        cut.withColumns({"outer": F.lit(False), "ib": F.pmod("at", "nb").cast("int")}).withColumn("ia", each("na")).select(columns),
     ]
     across = sides[0].union(sides[1]).groupBy("g", "ia", "ib").applyInArrow(lambda t: _compare(t, threshold, slack), "a long, b long")
     edges = edges.union(scratch.keep(across, "across"))
     labels = connected_components(edges.union(same), scratch, "all")
-    scratch.drop("buckets", "nodes", "sets", "members", "rest", "parts", *(f"rest{i}" for i in range(rounds)))
+    scratch.drop("buckets", "nodes", "sets", "members", "shared", "hot", "mains", "wide", "rest", "parts", *(f"rest{i}" for i in range(rounds)))
 
     out = signed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
