@@ -1,8 +1,9 @@
 """Main text of web pages through wrappers inferred for each host.
 
-A page is a stream of tags and texts. Repeated runs in it fold into groups; then the different
-folded pages of a host are aligned: what only one side has becomes optional, texts become slots,
-groups align as wholes. The resulting union-free expression is the host's wrapper. Pages that
+A page is a stream of tags and texts, with the end tags that it leaves out. Repeated runs in it fold
+into groups; then the different folded pages of a host are aligned by a longest common subsequence,
+whatever their length: what only one side has becomes optional, texts become slots, groups align as
+wholes. The resulting union-free expression is the host's wrapper. Pages that
 fold alike are one expression with a count; those of a host are aligned in order of their text,
 some at a time, then the results, so that no task holds a host's pages and their order and
 partitions don't matter.
@@ -19,9 +20,9 @@ from __future__ import annotations
 import functools
 import html
 import json
+import math
 import re
 import zlib
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -111,6 +112,11 @@ def page_stream(page: str) -> tuple[list[str], list[tuple[str, bool]], list]:
     parts: list[str] = []
     linked, links = 0, 0
 
+    def shut(k: int) -> None:
+        """Elements from the k-th on end, with an end tag in the stream whether the page has it or not."""
+        stream.extend("/" + x.name for x in reversed(stack[k:]) if x.name != "span")
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -174,24 +180,24 @@ def page_stream(page: str) -> tuple[list[str], list[tuple[str, bool]], list]:
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    del stack[k:]
+                    shut(k)
                     links = 0
                     break
-            stream.append("/" + name)
             continue
         if name in VOID:
             continue
         if name in CLOSES_ITSELF or name in HOLDS:
-            shut = name if name in CLOSES_ITSELF else "p"
+            ended = name if name in CLOSES_ITSELF else "p"
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == shut:
-                    del stack[k:]
+                if stack[k].name == ended:
+                    shut(k)
                     break
                 if stack[k].name in HOLDS:
                     break
         stack.append(_opened(name, m[3] or m[6] or "", stack[-1]))
         stream.append(name)
     flush()
+    shut(1)
     return texts, kinds, stream
 
 
@@ -251,77 +257,102 @@ def _fold(items: list[Item], most: int = 64) -> list[Item]:
 
 
 def page_items(kinds: list[tuple[str, bool]], stream: list) -> list[Item]:
-    return _fold([Item("t", t) if isinstance(t, str) else Item("x", "#" + kinds[t][0], links=int(kinds[t][1]), blocks=[t]) for t in stream])
-
-
-#: the key of a group in which items of any number come in any order: what two long sequences have in common
-ANY = "(*)"
+    """The folded page. A text's key has the tag before it, so that a slot is one place, not a heading here and a line of a list there."""
+    items = []
+    for before, t in zip(["", *stream], stream):
+        items.append(Item("t", t) if isinstance(t, str) else Item("x", f"#{kinds[t][0]}{before if isinstance(before, str) else ''}", links=int(kinds[t][1]), blocks=[t]))
+    return _fold(items)
 
 
-def _any_order(items: list[Item], one_page: bool = False) -> list[Item]:
-    """One group of optional items, one a key: covers every sequence of them, in linear time."""
-    body: dict[str, Item] = {}
-    for x in items:
-        for y in x.body if x.key == ANY else [x]:
-            body[y.key] = _join(body[y.key], y, one_page) if y.key in body else Item(y.kind, y.key, True, y.body, y.pages, y.links, y.blocks)
-    return [Item("r", ANY, body=[body[k] for k in sorted(body)])]
+def common_places(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; between equal ends the one furthest to the left in ``left``.
 
+    One way for sequences of any length: a row of the table of lengths is the bits of a whole number
+    (clear where the length grows). Every root-of-the-rows-th row is kept, those between are made again
+    on the way back: time by the product of the lengths, 30 pairs a digit, and memory by the root.
+    """
+    both = set(left).intersection(right)
+    a = [i for i, key in enumerate(left) if key in both]
+    b = [i for i, key in enumerate(right) if key in both]
+    least = min(len(a), len(b))
+    head = next((n for n in range(least) if left[a[n]] != right[b[n]]), least)
+    tail = next((n for n in range(least - head) if left[a[-1 - n]] != right[b[-1 - n]]), least - head)
+    first, last = list(zip(a[:head], b[:head], strict=True)), list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True))
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return first + last
+    where: dict[str, list[int]] = {}
+    for n, i in enumerate(a):
+        where.setdefault(left[i], []).append(n)
+
+    @functools.lru_cache(256)
+    def places(key: str) -> int:
+        own = np.zeros(len(a), bool)
+        own[where.get(key, [])] = True
+        return int.from_bytes(np.packbits(own, bitorder="little").tobytes(), "little")
+
+    def below(row: int, j: int, all_bits: int) -> int:
+        grown = row & places(right[j])
+        return ((row + grown) | (row - grown)) & all_bits
+
+    step = math.isqrt(len(b)) + 1
+    row = all_bits = (1 << len(a)) - 1
+    kept = []
+    for n, j in enumerate(b):
+        if n % step == 0:
+            kept.append(row)
+        row = below(row, j, all_bits)
+    found = []
+    n = len(a)
+    while kept and n:
+        at = (len(kept) - 1) * step
+        all_bits = (1 << n) - 1
+        row = kept.pop() & all_bits
+        rows = [row.to_bytes(n // 8 + 1, "little")]
+        for j in b[at : at + step]:
+            row = below(row, j, all_bits)
+            rows.append(row.to_bytes(n // 8 + 1, "little"))
+        k = len(rows) - 1
+        while k and n:
+            byte, bit = (n - 1) >> 3, (n - 1) & 7
+            if rows[k][byte] >> bit & 1:
+                n -= 1
+            elif not rows[k - 1][byte] >> bit & 1:
+                k -= 1
+            else:
+                n, k = n - 1, k - 1
+                found.append((a[n], b[at + k]))
+    return first + found[::-1] + last
 
-def align(a: list[Item], b: list[Item], one_page: bool = False, most: int = 60_000) -> list[Item]:
-    """One expression for both: equal parts join, what only one has is optional or joins the group beside it.
 
-    Sequences too long to align, by ``most`` pairs of items, become a group in any order.
-    """
+def align(a: list[Item], b: list[Item], one_page: bool = False) -> list[Item]:
+    """One expression for both: a longest common subsequence joins, what only one has is optional or joins the group beside it."""
     left, right = [x.key for x in a], [x.key for x in b]
-    if left == right and ANY not in left:
+    if left == right:
         return [_join(x, y, one_page) for x, y in zip(a, b, strict=True)]
-    if ANY in left or ANY in right or len(a) * len(b) > most:
-        # within each side a page has a slot once, however often it comes
-        return _any_order(_any_order(a, True) + _any_order(b, True), one_page) if one_page else _any_order(_once(a) + _once(b))
     out: list[Item] = []
-    for how, i, j, k, n in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if how == "equal":
-            out += [_join(x, y, one_page) for x, y in zip(a[i:j], b[k:n], strict=True)]
-            continue
+    i = k = 0
+    for j, n in [*common_places(left, right), (len(a), len(b))]:
         for part in (a[i:j], b[k:n]):
             keys = "(" + " ".join(x.key for x in part) + ")"
             if part and out and out[-1].kind == "r" and out[-1].key == keys:
                 out[-1] = _join(out[-1], Item("r", keys, body=part), one_page)
             else:
                 out += [Item(x.kind, x.key, True, x.body, x.pages, x.links, x.blocks) for x in part]
+        if j < len(a):
+            out.append(_join(a[j], b[n], one_page))
+        i, k = j + 1, n + 1
     return out
 
 
-def _once(items: list[Item]) -> list[Item]:
-    """Items of one key joined, with the pages of the one that most pages have."""
-    body: dict[str, Item] = {}
-    for x in items:
-        for y in x.body if x.key == ANY else [x]:
-            if y.key in body:
-                z = body[y.key]
-                most = max(z, y, key=lambda i: i.pages)
-                body[y.key] = Item(y.kind, y.key, True, align(z.body, y.body) if y.kind == "r" else None, most.pages, most.links, z.blocks + y.blocks)
-            else:
-                body[y.key] = y
-    return list(body.values())
-
-
-def slots_of(wrapper: list[Item], page: list[Item], most: int = 60_000):
+def slots_of(wrapper: list[Item], page: list[Item]):
     """Pairs of a wrapper's slot and the item of a folded page that stands there."""
-    if ANY in (wrapper[0].key if len(wrapper) == 1 else "", page[0].key if len(page) == 1 else "") or len(wrapper) * len(page) > most:
-        places: dict[str, Item] = {}
-        for w in wrapper:
-            for x in w.body if w.key == ANY else [w]:
-                places.setdefault(x.key, x)
-        pairs = [(places[y.key], y) for p in page for y in (p.body if p.key == ANY else [p]) if y.key in places]
-    else:
-        matcher = SequenceMatcher(None, [x.key for x in wrapper], [x.key for x in page], autojunk=False)
-        pairs = [pair for i, k, n in matcher.get_matching_blocks() for pair in zip(wrapper[i : i + n], page[k : k + n], strict=True)]
-    for w, p in pairs:
+    for i, k in common_places([x.key for x in wrapper], [x.key for x in page]):
+        w, p = wrapper[i], page[k]
         if w.kind == "x":
             yield w, p
         elif w.kind == "r":
-            yield from slots_of(w.body, p.body, most)
+            yield from slots_of(w.body, p.body)
 
 
 def content_kind(kinds: list[tuple[str, bool]]) -> str:
@@ -445,9 +476,9 @@ def extract(pages: DataFrame, small: int = 32 << 20) -> DataFrame:
     Character references are decoded; white space in a block becomes one space; blocks follow
     the page's order with an empty line between. A null html is empty and has the empty text; a
     null url belongs to the host without name. Repeated rows give repeated rows, equal pages of a
-    host equal texts. Pages of any length are whole: long ones align in any order. Further columns
-    are left out, whatever their names; an empty table gives no row. Wrappers of up to ``small``
-    bytes in all are broadcast.
+    host equal texts. Pages of any length are whole and align alike. Further columns are left out,
+    whatever their names; an empty table gives no row. Wrappers of up to ``small`` bytes in all are
+    broadcast.
     """
     small_batches(pages.sparkSession)
     scratch = Scratch(pages.sparkSession)

@@ -4,7 +4,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from lapidary.llm.wrappers import Item, align, extract, infer_wrappers, main_text, page_items, page_stream, text_key
+from lapidary.llm.wrappers import Item, align, common_places, extract, infer_wrappers, main_text, page_items, page_stream, text_key
 
 ARTICLE = (
     '<html><head><title>T</title><style>p{}</style></head><body class="nav-open"><nav><ul><li><a href=/a>A</a></li></ul></nav><header><h2>Site</h2></header>'
@@ -167,3 +167,58 @@ def test_long_pages_take_linear_time(spark):
     began = time.time()
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert time.time() - began < 90 and all(not r.text.startswith("All rights") for r in got.values()) and got[2].n_chars > 100_000
+
+
+def test_length_does_not_change_what_is_template(spark):
+    def page(i, blocks, note):
+        rng = random.Random(7)
+        body = "".join(rng.choice(["<h2>h{0}</h2>", "<p>p{0}</p>", "<ul><li>a{0}<li>b{0}</ul>", "<blockquote>q{0}</blockquote>"]).format(f"{i}.{k}") for k in range(blocks))
+        return f"<div><h1>Title {i}</h1>{body}{'<h5>Read our guide.</h5>' if note else ''}<h3>End {i}</h3></div>"
+
+    # five of twelve pages have the note: all that have its slot, but less than half of the host
+    rows = [("short.example", page(i, 3, i < 5)) for i in range(12)]
+    rows += [("long.example", page(i, 400, i < 5)) for i in range(12)]
+    rows += [("mixed.example", page(i, 400 if i == 11 else 3, i < 5)) for i in range(12)]
+    got = texts_of(spark, rows)
+    assert not any("Read our guide." in t for t in got)
+    assert got[:11] == got[24:35] and got[23] == got[35] and all(t.startswith(f"Title {i % 12}\n\n") and t.endswith(f"End {i % 12}") for i, t in enumerate(got))
+
+
+def test_common_places_are_a_longest_subsequence():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([str(rng.randrange(rng.choice([2, 6]))) for _ in range(rng.randrange(40))] for _ in range(2))
+        before = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(row[j], before[j + 1]))
+            before = row
+        pairs = common_places(a, b)
+        assert len(pairs) == before[-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_missing_end_tags_make_no_other_slots():
+    whole = "<article><h1>t</h1><p>a</p><p>b</p><ul><li>x</li><li>y</li></ul></article>"
+    for page in ("<article><h1>t</h1><p>a<p>b<ul><li>x<li>y</ul></article>", "<article><h1>t</h1><p>a<p>b</p><ul><li>x<li>y</li></ul></p>"):
+        assert [x.plain() for x in page_items(*page_stream(page)[1:])] == [x.plain() for x in page_items(*page_stream(whole)[1:])]
+
+
+def test_paragraphs_that_articles_share_stay(spark):
+    from lapidary.llm.q_op2_wrappers import query
+
+    got = {r.page_id: r.text for r in query(spark, "/root/testdata/sf0.1").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        reader = PlainReader()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.flush()
+        assert got.pop(r.page_id) == "\n\n".join(reader.blocks)
+    assert not got
+
+
+def test_texts_after_different_tags_are_different_slots():
+    one, two = (page_items(*page_stream(p)[1:]) for p in ("<div><h2>a</h2></div><div><h3>b</h3></div>", "<div><h3>b</h3></div><div><h2>a</h2></div>"))
+    assert max(x.pages for x in align(one, two) if x.kind == "x") == 2
+    assert {x.key for x in align(one, two) if x.kind == "x"} == {"#eh2", "#eh3"}
