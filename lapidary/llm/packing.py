@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from lapidary.llm.resident import release
 from lapidary.llm.scratch import Scratch, small_batches
 from lapidary.llm.tokens import tokenizer
 from lapidary.llm.words import pieces as word_runs
@@ -281,24 +284,29 @@ def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 100, salt_rows:
     counts = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = rows.join(counts, ["length", "salt"]).withColumn("rank", F.col("before") + nth).drop("salt", "before")
-    names = [c for c in ranked.columns if c != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(names).schema) + ", sequence_id long, offset long"
-
-    def place(frames):
-        for frame in frames:
-            length, rank = frame["length"].to_numpy(), frame["rank"].to_numpy()
-            sequence = np.zeros(len(frame), np.int64)
-            offset = np.zeros(len(frame), np.int64)
-            for own in np.unique(length):
-                at = np.flatnonzero(length == own)
-                since, first, times, begin = table[int(own)]
-                k = np.searchsorted(since, rank[at], "right") - 1
-                nth_here = rank[at] - since[k]
-                sequence[at] = first[k] + nth_here // times[k]
-                offset[at] = begin[k] + nth_here % times[k] * own
-            yield frame[names].assign(sequence_id=sequence, offset=offset)
-
-    return ranked.mapInPandas(place, schema)
+    placed = StructType([*ranked.drop("rank").schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(lambda batches: place_pieces(batches, table), placed)
+
+
+def place_pieces(batches: Iterable[pa.RecordBatch], table: dict[int, tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``sequence_id`` and ``offset`` in place of their last column, ``rank``.
+
+    The other columns pass as they are. Nothing is tokenised from here on, so the worker's tokenizer goes.
+    """
+    release()
+    for batch in batches:
+        length, rank = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+        sequence = np.zeros(len(length), np.int64)
+        offset = np.zeros(len(length), np.int64)
+        for own in np.unique(length):
+            at = np.flatnonzero(length == own)
+            since, first, times, begin = table[int(own)]
+            k = np.searchsorted(since, rank[at], "right") - 1
+            nth_here = rank[at] - since[k]
+            sequence[at] = first[k] + nth_here // times[k]
+            offset[at] = begin[k] + nth_here % times[k] * own
+        kept = batch.schema.names[:-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
 
 def pack_documents(

@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lapidary.llm.packing import _best_fit_into, _best_pattern, pack_documents, place_table, plan_patterns
+from lapidary.llm import resident
+from lapidary.llm.packing import _best_fit_into, _best_pattern, pack, pack_documents, place_pieces, place_table, plan_patterns
 from lapidary.llm.tokens import vocabulary_path
 from tests.llm.helpers import docs_frame
 
@@ -33,6 +36,27 @@ def test_no_rows(spark):
     assert pack_documents(docs_frame(spark, [(1, "a")]).limit(0)).collect() == []
 
 
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]  # neither is a double
+    rows = pack_documents(docs_frame(spark, [(i, "a b") for i in ids]).coalesce(1)).collect()
+    assert {r.doc_id for r in rows} == set(ids)
+
+
+def test_other_columns_pass(spark):
+    pieces = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).alias("length"), F.lit(1).alias("ids_crc32"), F.array(F.lit(1), F.lit(2)).alias("more"))
+    out = pack(pieces, capacity=14)
+    assert out.schema["more"] == pieces.schema["more"]
+    assert sorted((r.doc_id, r.more) for r in out.collect()) == [(i, [1, 2]) for i in range(3)] and out.agg(F.max("sequence_id")).first()[0] == 1
+
+
+def test_placing_keeps_no_tokenizer():
+    resident.resident(("words", "a vocabulary"), object)
+    batch = pa.RecordBatch.from_pydict({"length": [2, 3, 2], "rank": [1, 0, 0]})
+    (placed,) = place_pieces([batch], place_table([({3: 1, 2: 1}, 1), ({2: 1}, 1)]))
+    assert not resident._held
+    assert placed.to_pydict() == {"length": [2, 3, 2], "sequence_id": [1, 0, 0], "offset": [0, 0, 3]}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     rng = np.random.default_rng(seed)
